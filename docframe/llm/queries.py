@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import bpe_codec, chat_format, packing, token_counts
+from docframe.llm import bpe_codec, chat_format, media, packing, quality_fm, quality_rules, token_counts
 from docframe.llm.common import documents
 
 
@@ -40,6 +40,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.encode_media(documents(spark, sf_dir))
+    return media.media_features(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -58,6 +63,21 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    scores = quality_fm.quality_scores(docs, quality_fm.train(docs, labels))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    judged = quality_rules.quality_rules(docs, measures=True)
+    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select("doc_id", *quality_rules.MEASURES, base_failed.alias("base_failed"), (F.col("kept") & ~base_failed).alias("kept"))
+
+
 OP6_SQL = r"""
 WITH rows_ AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -79,7 +99,7 @@ FROM marked GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_bpe_codec, op3_token_counts, op6_chat_format]
+    found = [op1_best_fit_packing, op2_bpe_codec, op3_token_counts, op5_media_columns, op6_chat_format, op8_quality_classifier, op9_quality_rules]
     return {f.__name__: f for f in found}
 
 
