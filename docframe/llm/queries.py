@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import bpe_codec, chat_format, media, packing, quality_fm, quality_rules, token_counts
+from docframe.llm import bpe_codec, chat_format, media, packing, pii, quality_fm, quality_rules, token_counts
 from docframe.llm.common import documents
 
 
@@ -63,6 +63,13 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("spans", pii.is_base)
+    counts = [pii.count_kind(F.col("spans"), k).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
+    return marked.select("doc_id", *counts, F.sha2(pii.spell(base), 256).alias("base_sha256"), pii.spell(F.col("spans")).alias("spans"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -99,7 +106,7 @@ FROM marked GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_bpe_codec, op3_token_counts, op5_media_columns, op6_chat_format, op8_quality_classifier, op9_quality_rules]
+    found = [op1_best_fit_packing, op2_bpe_codec, op3_token_counts, op5_media_columns, op6_chat_format, op7_pii, op8_quality_classifier, op9_quality_rules]
     return {f.__name__: f for f in found}
 
 
