@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import bpe_codec, chat_format, media, packing, pii, quality_fm, quality_rules, token_counts
+from docframe.llm import bpe_codec, chat_format, line_dedup, media, packing, pii, quality_fm, quality_rules, token_counts
 from docframe.llm.common import documents
 
 
@@ -40,6 +40,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
+    edited = line_dedup.line_dedup(docs)
+    return edited.select("doc_id", "n_lines", F.size("deleted").cast("long").alias("n_deleted"), F.array_join(F.col("deleted").cast("array<string>"), ",").alias("deleted_lines"), "text")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.encode_media(documents(spark, sf_dir))
     return media.media_features(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -106,7 +112,7 @@ FROM marked GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_bpe_codec, op3_token_counts, op5_media_columns, op6_chat_format, op7_pii, op8_quality_classifier, op9_quality_rules]
+    found = [op1_best_fit_packing, op2_bpe_codec, op3_token_counts, op4_line_dedup, op5_media_columns, op6_chat_format, op7_pii, op8_quality_classifier, op9_quality_rules]
     return {f.__name__: f for f in found}
 
 
