@@ -102,9 +102,12 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def rule_profile(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
     """rule, cost (seconds a text) and selectivity of each rule on a sample of at most ``rows`` texts.
 
-    The sample is those with the least hash of id and length; it is measured in one task.
+    The sample is those with the least hash of id and length; hashes alone choose
+    it, so no more texts than these move, and one task measures them.
     """
-    sample = docs.select(text_of(text_column).alias("text"), F.xxhash64(F.col(id_column), F.length(text_column)).alias("h")).orderBy("h").limit(rows).select("text")
+    hashed = docs.select(text_of(text_column).alias("text"), F.xxhash64(F.col(id_column), F.length(text_column)).alias("h"))
+    last = hashed.select("h").orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()["h"]
+    sample = hashed.where(F.col("h") <= F.lit(last).cast("long")).select("text").limit(rows)
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = [t for f in frames for t in f["text"]]
