@@ -52,3 +52,47 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sha256_hex(value: Column) -> Column:
     return F.sha2(value, 256)
+
+
+def numbered(df: DataFrame, column: str, scratch: Scratch, table: str) -> DataFrame:
+    """``df``, written, with consecutive numbers from 0 in its order of partitions and rows.
+
+    Only the number of rows of each partition passes through the driver.
+    """
+    kept = scratch.keep(df.withColumn("__m", F.monotonically_increasing_id()), table)
+    part = F.shiftright("__m", 33)
+    counts = sorted((r["part"], r["count"]) for r in kept.groupBy(part.alias("part")).count().collect())
+    starts, base = [], 0
+    for p, n in counts:
+        starts.append((p, base))
+        base += n
+    offsets = df.sparkSession.createDataFrame(starts, "__part long, __start long")
+    joined = kept.join(F.broadcast(offsets), part == F.col("__part"))
+    return joined.withColumn(column, F.col("__start") + F.col("__m") - F.shiftleft("__part", 33)).drop("__m", "__part", "__start")
+
+
+def components(edges: DataFrame, scratch: Scratch, table: str) -> DataFrame:
+    """node and root (the least node) of every node on an edge a-b, by alternating large and small stars.
+
+    Every round is written, so its lineage ends there; the links stay distributed.
+    """
+    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") > F.col("b")).distinct()
+    e = scratch.keep(e, f"{table}0")
+    state, turn = None, 0
+    while True:
+        turn += 1
+        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.unionAll(least.where(F.col("m") < F.col("a")).select("a", F.col("m").alias("b"))).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a")
+        small = small.where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).distinct()
+        e = scratch.keep(small, f"{table}{turn}")
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        scratch.drop(f"{table}{turn - 1}")
+        if now == state:
+            break
+        state = now
+    roots = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    return roots.unionAll(roots.select("root", "root").distinct())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import bpe_codec, chat_format, line_dedup, media, packing, pii, quality_fm, quality_rules, token_counts
+from docframe.llm import bpe_codec, chat_format, line_dedup, media, ngram_jaccard, packing, pii, quality_fm, quality_rules, token_counts
 from docframe.llm.common import documents
 
 
@@ -91,6 +91,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.MEASURES, base_failed.alias("base_failed"), (F.col("kept") & ~base_failed).alias("kept"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_components(documents(spark, sf_dir), n=4, num=85, den=100)
+
+
 OP6_SQL = r"""
 WITH rows_ AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -112,7 +116,7 @@ FROM marked GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_bpe_codec, op3_token_counts, op4_line_dedup, op5_media_columns, op6_chat_format, op7_pii, op8_quality_classifier, op9_quality_rules]
+    found = [op1_best_fit_packing, op2_bpe_codec, op3_token_counts, op4_line_dedup, op5_media_columns, op6_chat_format, op7_pii, op8_quality_classifier, op9_quality_rules, op10_ngram_jaccard]
     return {f.__name__: f for f in found}
 
 
