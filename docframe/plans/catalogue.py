@@ -7,32 +7,265 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docframe.functions import binary, route, text
+from docframe.operators import keyed_text, lines, records
+from docframe.spec import FieldSpec, RecordSpec, UnionSpec
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _union_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    k = F.from_json("props", "k BIGINT")["k"]
-    return events.select(
+PROPS = RecordSpec((FieldSpec("k", "bigint", minimum=0),))
+
+
+@query(f"SELECT event_id, {K} AS k FROM events")
+def q01_typed_parse(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("parsed", records.parse_json_record(F.col("props"), PROPS))
+    return events.select("event_id", F.col("parsed.value.k").alias("k"))
+
+
+@query(r"""SELECT event_id, regexp_extract(props, '^\s*\{\s*"([^"\\]*)"\s*:', 1) AS kind FROM events""")
+def q02_first_key(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", route.kind_of(F.col("props")).alias("kind"))
+
+
+def _event_line():
+    return F.to_json(F.struct("event_type", "user_id", F.struct(F.col("event_id").alias("id")).alias("nested")))
+
+
+@query("""SELECT event_id, '"' || event_type || '"' AS member, event_type AS member_text, CAST(user_id AS VARCHAR) AS number_text, CAST(NULL AS VARCHAR) AS nested_text FROM events""")
+def q03_member_of(spark, sf_dir):
+    line = _event_line()
+    return table(spark, sf_dir, "events").select(
         "event_id",
-        F.col("event_type").alias("tag"),
-        F.when(F.col("event_type") == "purchase", k).alias("purchase_k"),
-        F.when(F.col("event_type") == "click", k).alias("click_k"),
+        route.member_of(line, "event_type").alias("member"),
+        route.member_string_of(line, "event_type").alias("member_text"),
+        route.member_of(line, "user_id").alias("number_text"),
+        route.member_of(line, "nested").alias("nested_text"),
+    )
+
+
+EVENT_UNION = UnionSpec(
+    {"purchase": RecordSpec((FieldSpec("k", "bigint"),)), "click": RecordSpec((FieldSpec("k", "bigint"),)), "signup": RecordSpec((FieldSpec("k", "bigint"),))},
+    other=True,
+)
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN event_type IN ('purchase', 'click', 'signup') THEN event_type ELSE 'other' END AS tag,
+        CASE WHEN event_type = 'purchase' THEN {K} END AS purchase_k, CASE WHEN event_type = 'click' THEN {K} END AS click_k,
+        CASE WHEN event_type NOT IN ('purchase', 'click', 'signup') THEN '{{"' || event_type || '":' || props || '}}' END AS other_line FROM events"""
+)
+def q04_union_routing(spark, sf_dir):
+    line = F.concat(F.lit('{"'), F.col("event_type"), F.lit('":'), F.col("props"), F.lit("}"))
+    events = table(spark, sf_dir, "events").withColumn("u", records.parse_json_union(line, EVENT_UNION))
+    return events.select("event_id", F.col("u._tag").alias("tag"), F.col("u.purchase.k").alias("purchase_k"), F.col("u.click.k").alias("click_k"), F.col("u._other").alias("other_line"))
+
+
+@query(f"SELECT event_id, {K} AS k, CASE WHEN event_id % 3 = 0 THEN 'warn' ELSE 'info' END AS level FROM events")
+def q05_default_when_missing(spark, sf_dir):
+    spec = RecordSpec((FieldSpec("k", "bigint"), FieldSpec("level", default="info", allowed=("info", "warn"))))
+    line = F.when(F.col("event_id") % 3 == 0, text.with_member(F.col("props"), "level", F.lit('"warn"'))).otherwise(F.col("props"))
+    events = table(spark, sf_dir, "events").withColumn("p", records.parse_json_record(line, spec))
+    return events.select("event_id", F.col("p.value.k").alias("k"), F.col("p.value.level").alias("level"))
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'DuplicateField' END AS refused, {K} AS first_k,
+        CASE WHEN event_id % 2 = 0 THEN event_id ELSE {K} END AS last_k FROM events"""
+)
+def q06_duplicate_members(spark, sf_dir):
+    line = F.when(F.col("event_id") % 2 == 0, text.with_member(F.col("props"), "k", F.col("event_id").cast("string"))).otherwise(F.col("props"))
+    parse = lambda how: records.parse_json_record(line, RecordSpec((FieldSpec("k", "bigint"),), duplicates=how))
+    events = table(spark, sf_dir, "events").select("event_id", parse("reject").alias("r"), parse("first").alias("f"), parse("last").alias("l"))
+    return events.select("event_id", F.col("r._error.code").alias("refused"), F.col("f.value.k").alias("first_k"), F.col("l.value.k").alias("last_k"))
+
+
+@query(
+    """WITH n AS (SELECT n_nationkey, n_name, CASE WHEN n_regionkey > 1 THEN n_regionkey END AS r FROM nation)
+    SELECT n_nationkey, '{"n_name":"' || n_name || '","n_regionkey":' || coalesce(CAST(r AS VARCHAR), 'null') || '}' AS with_nulls,
+    sha256('{"n_name":"' || n_name || '"' || coalesce(',"n_regionkey":' || CAST(r AS VARCHAR), '') || '}') AS without_nulls_sha FROM n"""
+)
+def q07_json_write_nulls(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").withColumn("n_regionkey", F.when(F.col("n_regionkey") > 1, F.col("n_regionkey")))
+    cols = [F.col("n_name"), F.col("n_regionkey")]
+    return n.select("n_nationkey", text.json_object(*cols).alias("with_nulls"), F.sha2(text.json_object(*cols, nulls=False), 256).alias("without_nulls_sha"))
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL WHEN event_id % 2 = 0 THEN 'app' ELSE event_type END AS scope_,
+        CASE WHEN event_id % 5 = 4 THEN NULL ELSE {K} END AS at_, event_id % 2 = 0 OR event_id % 5 = 4 AS migrated,
+        CASE WHEN event_id % 5 = 4 THEN 'UnknownVariant' END AS refused FROM events"""
+)
+def q08_versioned_migrate(spark, sf_dir):
+    now = RecordSpec((FieldSpec("scope", default="app"), FieldSpec("at", "bigint")))
+    old = RecordSpec((FieldSpec("at"),))
+    migrate = lambda v: F.struct(F.lit("app").alias("scope"), route.int_of(v["at"]).alias("at"))
+    k = F.get_json_object("props", "$.k")
+    v2 = F.concat(F.lit('{"v":2,"data":{"scope":"'), F.col("event_type"), F.lit('","at":'), k, F.lit("}}"))
+    v1 = F.concat(F.lit('{"data":{"at":"'), k, F.lit('"},"v":1}'))
+    v7 = F.concat(F.lit('{"v":7,"data":'), F.col("props"), F.lit("}"))
+    line = F.when(F.col("event_id") % 5 == 4, v7).when(F.col("event_id") % 2 == 0, v1).otherwise(v2)
+    events = table(spark, sf_dir, "events").withColumn("p", records.parse_versioned(line, 2, now, {1: (old, migrate)}))
+    return events.select("event_id", F.col("p.value.scope").alias("scope_"), F.col("p.value.at").alias("at_"), F.col("p.migrated").alias("migrated"), F.col("p._error.code").alias("refused"))
+
+
+@query("""SELECT p_partkey, p_name, p_type || ',"' || p_brand AS odd, p_size FROM part""")
+def q09_csv_round_trip(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumn("odd", F.concat("p_type", F.lit(',"'), "p_brand"))
+    back = text.csv_fields(text.csv_line(F.col("p_name"), F.col("odd"), F.col("p_size")))
+    return part.select("p_partkey", F.get(back, F.lit(0)).alias("p_name"), F.get(back, F.lit(1)).alias("odd"), F.get(back, F.lit(2)).cast("int").alias("p_size"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page, regexp_extract(url, '[?&]ref=([^&#]*)', 1) AS ref FROM pages WHERE url LIKE '%?%'""")
+def q10_form_pairs(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").where(F.contains("url", F.lit("?")))
+    pairs = text.form_pairs(F.regexp_extract("url", r"\?([^#]*)", 1))
+    one = lambda n: F.coalesce(F.get(text.form_values(pairs, n), F.lit(0)), F.lit(""))
+    return pages.select("page_id", one("page").alias("page"), one("ref").alias("ref"))
+
+
+@query("SELECT event_id, props FROM events ORDER BY event_id DESC LIMIT 100")
+def q11_tail(spark, sf_dir):
+    return lines.last_lines(table(spark, sf_dir, "events").select("event_id", "props"), 100, "event_id")
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE value BETWEEN 1 AND 50) AS good, count(*) FILTER (WHERE NOT value BETWEEN 1 AND 50) AS refused FROM events GROUP BY event_type")
+def q12_validation_counts(spark, sf_dir):
+    spec = RecordSpec((FieldSpec("value", "double", minimum=1.0, maximum=50.0),))
+    line = F.concat(F.lit('{"value":'), F.col("value").cast("decimal(18,2)").cast("string"), F.lit("}"))
+    events = table(spark, sf_dir, "events").withColumn("bad", records.parse_json_record(line, spec)["_error"]["code"])
+    return events.groupBy("event_type").agg(F.count_if(F.col("bad").isNull()).alias("good"), F.count_if(F.col("bad") == "NumberOutOfRange").alias("refused"))
+
+
+@query("""SELECT n_nationkey, sha256('{"key":' || n_nationkey || ',"name":"' || n_name || '","region":' || n_regionkey || '}') AS canonical_sha FROM nation""")
+def q13_canonical_hash(spark, sf_dir):
+    members = {"name": text.json_string(F.col("n_name")), "region": text.canonical_number(F.col("n_regionkey")), "key": text.canonical_number(F.col("n_nationkey"))}
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.sha2(text.canonical_object(members), 256).alias("canonical_sha"))
+
+
+_INT_TEXT = "CASE WHEN event_id % 4 = 0 THEN '0' || user_id WHEN event_id % 4 = 1 THEN user_id || '.0' WHEN event_id % 4 = 2 THEN '-' || user_id ELSE CAST(user_id AS VARCHAR) END"
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN regexp_matches({_INT_TEXT}, '^-?(0|[1-9][0-9]*)$') THEN TRY_CAST({_INT_TEXT} AS BIGINT) END AS digits_only,
+        CASE WHEN event_id % 4 = 1 THEN user_id WHEN regexp_matches({_INT_TEXT}, '^-?(0|[1-9][0-9]*)$') THEN TRY_CAST({_INT_TEXT} AS BIGINT) END AS whole FROM events"""
+)
+def q14_strict_integers(spark, sf_dir):
+    u = F.col("user_id").cast("string")
+    m = F.col("event_id") % 4
+    spelled = F.when(m == 0, F.concat(F.lit("0"), u)).when(m == 1, F.concat(u, F.lit(".0"))).when(m == 2, F.concat(F.lit("-"), u)).otherwise(u)
+    return table(spark, sf_dir, "events").select("event_id", route.int_of(spelled).alias("digits_only"), route.whole_of(spelled).alias("whole"))
+
+
+@query("""SELECT r_regionkey, '{"name":"' || r_name || '","len":' || length(r_name) || '}' AS with_length FROM region""")
+def q15_computed_member(spark, sf_dir):
+    obj = text.json_object(F.col("r_name").alias("name"))
+    return table(spark, sf_dir, "region").select("r_regionkey", text.with_member(obj, "len", F.char_length("r_name").cast("string")).alias("with_length"))
+
+
+@query(
+    """WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+    x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS number FROM s)
+    SELECT doc_id, number, line, CAST(coalesce(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM x"""
+)
+def q16_lines_of_text(spark, sf_dir):
+    found = lines.explode_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "number", "line", F.col("offset").alias("byte_offset"))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS segment FROM customer")
+def q17_cbor_round_trip(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("segment", F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")))
+    coded = binary.cbor_map({
+        "name": (F.lit(False), binary.cbor_text(F.col("c_name"))),
+        "nation": (F.lit(False), binary.cbor_int(F.col("c_nationkey"))),
+        "segment": (F.col("segment").isNull(), binary.cbor_text(F.col("segment"))),
+    })
+    back = c.withColumn("m", binary.cbor_flat(coded))
+    return back.select("c_custkey", F.col("m")["name"].alias("c_name"), F.col("m")["nation"].cast("int").alias("c_nationkey"), F.col("m")["segment"].alias("segment"))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 'yes' ELSE 'no' END = 'yes' AS active FROM supplier")
+def q18_ini_entries(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    body = F.concat(
+        F.lit("; supplier\n[main]\nName = "), "s_name", F.lit("\n[place]\nnation: "), F.col("s_nationkey").cast("string"), F.lit("\nactive="), F.when(F.col("s_suppkey") % 2 == 0, "Yes").otherwise("off"), F.lit("\n")
+    )
+    entries = keyed_text.ini_entries(s.select("s_suppkey", body.alias("body")), "s_suppkey", "body").where(F.col("error").isNull())
+    pick = lambda section, name: F.max(F.when((F.col("section") == section) & (F.col("name") == name), F.col("value")))
+    wide = entries.groupBy("s_suppkey").agg(pick("main", "name").alias("s_name"), pick("place", "nation").cast("int").alias("s_nationkey"), pick("place", "active").alias("a"))
+    return wide.select("s_suppkey", "s_name", "s_nationkey", keyed_text.boolean_word(F.col("a")).alias("active"))
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment, 'a' || chr(10) || 'b' AS note FROM customer")
+def q19_dotenv_entries(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    body = F.concat_ws(
+        "\n", F.concat(F.lit("export NAME='"), "c_name", F.lit("' # who")), F.concat(F.lit("SEGMENT="), "c_mktsegment", F.lit(" # kind")), keyed_text.dotenv_line(F.lit("NOTE"), F.lit("a\nb"))
     )
+    entries = keyed_text.dotenv_entries(c.select("c_custkey", body.alias("body")), "c_custkey", "body").where(F.col("error").isNull())
+    pick = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    return entries.groupBy("c_custkey").agg(pick("NAME").alias("c_name"), pick("SEGMENT").alias("c_mktsegment"), pick("NOTE").alias("note"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def q20_xml_round_trip(spark, sf_dir):
+    xml = F.to_xml(F.struct(F.col("n_nationkey").alias("@id"), F.col("n_name").alias("name"), F.struct(F.col("n_regionkey").alias("@key")).alias("region")), {"rowTag": "nation", "attributePrefix": "@"})
+    back = F.from_xml(xml, "`@id` int, name string, region struct<`@key`:int>", {"attributePrefix": "@", "valueTag": "$text"})
+    n = table(spark, sf_dir, "nation").select(back.alias("x"))
+    return n.select(F.col("x.`@id`").alias("n_nationkey"), F.col("x.name").alias("n_name"), F.col("x.region.`@key`").alias("n_regionkey"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'UnknownField' END AS refused, CASE WHEN event_id % 2 = 0 THEN 'extra' END AS refused_field FROM events")
+def q21_unknown_fields(spark, sf_dir):
+    line = F.when(F.col("event_id") % 2 == 0, text.with_member(F.col("props"), "extra", F.lit("1"))).otherwise(F.col("props"))
+    e = table(spark, sf_dir, "events").withColumn("e", records.parse_json_record(line, PROPS)["_error"])
+    return e.select("event_id", F.col("e.code").alias("refused"), F.col("e.field").alias("refused_field"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'ControlByte' WHEN event_id % 3 = 2 THEN 'MissingSeparator' END AS fault, CASE WHEN event_id % 3 = 0 THEN props END AS record, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS torn FROM events")
+def q22_framing(spark, sf_dir):
+    m = F.col("event_id") % 3
+    line = F.when(m == 0, F.concat(F.lit('{"torn\x1e'), "props", F.lit("\r"))).when(m == 1, F.concat(F.lit("\x1e"), "props", F.lit("\x01"))).otherwise(F.col("props"))
+    f = table(spark, sf_dir, "events").withColumn("f", lines.frame(line, F.lit(10), lines.Framing(separator=True)))
+    return f.select("event_id", F.col("f.fault").alias("fault"), F.col("f.record").alias("record"), F.col("f.torn").alias("torn"))
+
+
+@query("SELECT event_id, event_id * 1000000000 + 1500000 AS nanos, event_id * 1048576 AS bytes FROM events")
+def q23_durations_and_sizes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id").cast("string")
+    return e.select("event_id", text.duration_nanos(F.concat(i, F.lit("s1500us"))).alias("nanos"), text.byte_size(F.concat(i, F.lit("MiB"))).alias("bytes"))
+
+
+@query("""SELECT c_custkey, 'q=' || replace(replace(c_name, '#', '%23'), ' ', '+') || CASE WHEN c_custkey % 2 = 0 THEN '&segment=' || c_mktsegment ELSE '' END AS form FROM customer""")
+def q24_form_write(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", text.form_write({"q": F.col("c_name"), "segment": F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))}).alias("form"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"q04_union_routing": _union_routing}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    k = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
-    return {
-        "q04_union_routing": f"""
-            SELECT event_id, event_type AS tag,
-                   CASE WHEN event_type = 'purchase' THEN {k} END AS purchase_k,
-                   CASE WHEN event_type = 'click' THEN {k} END AS click_k
-            FROM events"""
-    }
+    return dict(SQL)
