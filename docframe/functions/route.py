@@ -74,7 +74,7 @@ def whole_of(text: Column, kind: str = "bigint") -> Column:
     """An integer that may be written with a zero fraction or an exponent (1.0, 1e2)."""
     lo, hi = INTEGERS[kind]
     number = F.regexp_like(text, F.lit(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]{1,3})?$"))
-    plain = F.when(F.regexp_like(text, F.lit(r"^-?[0-9]+$")), text.try_cast("decimal(38,0)"))
+    plain = F.when(F.regexp_like(text, F.lit(r"^-?(0|[1-9][0-9]*)$")), text.try_cast("decimal(38,0)"))
     exact = F.when(number, text.try_cast("decimal(38,10)"))
     value = F.coalesce(plain, F.when(exact == F.floor(exact), F.floor(exact).cast("decimal(38,0)")))
     return F.when(value.between(F.lit(str(lo)).cast("decimal(38,0)"), F.lit(str(hi)).cast("decimal(38,0)")), value).cast(SPARK_TYPE.get(kind, kind))

@@ -67,7 +67,7 @@ def dotenv_entries(texts: DataFrame, key: str, text: str) -> DataFrame:
     name = F.regexp_replace(F.regexp_extract("binding", _BINDING, 1), "^'|'$", "")
     raw = F.regexp_extract("binding", _BINDING, 2)
     bound = F.regexp_like("binding", F.lit(rf"(?s)^[ \t]*(?:export[ \t]+)?{_NAME}[ \t]*="))
-    plain = F.regexp_replace(F.regexp_replace(raw, r"(?:^|\s+)#.*$", ""), r"\s+$", "")
+    plain = F.regexp_replace(F.regexp_replace(raw, r"\s+#.*$", ""), r"^\s+|\s+$", "")
     body = F.regexp_replace(F.substr(raw, F.lit(2), F.char_length(raw) - 2), "\r\n?", "\n")
     single = F.regexp_replace(body, r"\\([\\'])", "$1")
     double = body

@@ -20,20 +20,23 @@ ERROR = "struct<code:string,field:string>"
 _TRAILING = r"(?s)^[ \t\r\n]*\{.*\}[ \t\r\n]*$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def error(code: str, name: str | None = None) -> Column:
     return F.struct(F.lit(code).alias("code"), F.lit(name).cast("string").alias("field")).cast(ERROR)
 
 
-def _raw(line: Column, name: str, policy: str) -> tuple[Column, Column]:
-    """A member's JSON kind and plain text under a duplicate policy."""
+def _text(line: Column, name: str, policy: str) -> Column:
+    """A member's plain text: the last of its name under that policy, else the first."""
     if policy == "last":
-        whole = F.from_json(line, f"`{name}` string")[name]
-        return F.get_json_object(line, path_of(name)), whole
-    value = F.get_json_object(line, path_of(name))
-    return value, value
+        return F.from_json(line, f"`{name}` string")[name]
+    return F.get_json_object(line, path_of(name))
 
 
-def _kind(line: Column, name: str, text: Column) -> Column:
+def _kind(line: Column, name: str) -> Column:
     """text, number, boolean, object, array or null, from the line's own spelling of the first such member."""
     quoted = '"' + name.replace("\\", "\\\\").replace('"', '\\"') + '"'
     first = F.regexp_extract(line, "(?s)" + _escape(quoted) + r"[ \t\r\n]*:[ \t\r\n]*(.)", 1)
@@ -51,35 +54,40 @@ def _escape(text: str) -> str:
     return "".join("\\" + c if not c.isalnum() else c for c in text)
 
 
-def _field(line: Column, keys: Column, f: FieldSpec, record: RecordSpec) -> tuple[Column, Column]:
-    """A field's value and its error (null if none)."""
-    names = [record.wire_name(f), *f.aliases]
-    wire = names[0]
-    kind, text = F.lit(None).cast("string"), F.lit(None).cast("string")
-    present = F.lit(False)
-    for n in reversed(names):
+def _found(line: Column, keys: Column, f: FieldSpec, record: RecordSpec) -> Column:
+    """struct<present, kind, text> of a field under any of its names."""
+    kind, text, present = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False)
+    for n in reversed([record.wire_name(f), *f.aliases]):
         here = F.array_contains(keys, n)
-        _, value = _raw(line, n, record.duplicates)
+        value = _text(line, n, record.duplicates)
         text = F.when(here, value).otherwise(text)
-        kind = F.when(here, _kind(line, n, value)).otherwise(kind)
+        kind = F.when(here, _kind(line, n)).otherwise(kind)
         present = present | here
-    if f.skip_decode:
-        return F.lit(f.default).cast(f.spark_type), F.lit(None).cast(ERROR)
+    return F.struct(present.alias("present"), kind.alias("kind"), text.alias("text"))
+
+
+def _typed(found: Column, f: FieldSpec) -> tuple[Column, str]:
+    """The value as its type, null where it does not fit, and the JSON kind that it must have ('' is any)."""
+    kind, text = found["kind"], found["text"]
     if f.kind in INTEGERS:
-        value = F.when(kind == "number", whole_of(text, f.kind))
-        wrong = F.when(kind != "number", error("UnexpectedType", wire)).when(value.isNull(), error("NumberOutOfRange", wire))
-    elif f.kind in ("float", "double"):
-        value = F.when(kind == "number", text.try_cast(f.kind))
-        wrong = F.when(kind != "number", error("UnexpectedType", wire)).when(value.isNull() | (F.abs(value) == float("inf")), error("NumberOutOfRange", wire))
-    elif f.kind == "boolean":
-        value = F.when(kind == "boolean", text == "true")
-        wrong = F.when(kind != "boolean", error("UnexpectedType", wire))
-    elif f.kind == "raw":
-        value, wrong = text, F.lit(None).cast(ERROR)
-    else:
-        value = F.when(kind == "text", text)
-        wrong = F.when(kind != "text", error("UnexpectedType", wire))
-    checks = [wrong]
+        return F.when(kind == "number", whole_of(text, f.kind)), "number"
+    if f.kind in ("float", "double"):
+        value = text.try_cast(f.kind)
+        return F.when((kind == "number") & (F.abs(text.try_cast("double")) < float("inf")), value), "number"
+    if f.kind == "boolean":
+        return F.when(kind == "boolean", text == "true"), "boolean"
+    if f.kind == "raw":
+        return text, ""
+    return F.when(kind == "text", text), "text"
+
+
+def _judge(found: Column, value: Column, f: FieldSpec, record: RecordSpec) -> Column:
+    """struct<value, error> of a field that was looked for."""
+    wire = record.wire_name(f)
+    _, due = _typed(found, f)
+    checks = []
+    if due:
+        checks += [F.when(found["kind"] != due, error("UnexpectedType", wire)), F.when(value.isNull(), error("NumberOutOfRange" if due == "number" else "UnexpectedType", wire))]
     if f.minimum is not None:
         checks.append(F.when(value < F.lit(f.minimum), error("NumberOutOfRange", wire)))
     if f.maximum is not None:
@@ -90,43 +98,63 @@ def _field(line: Column, keys: Column, f: FieldSpec, record: RecordSpec) -> tupl
         checks.append(F.when(~value.isin(*f.allowed), error("UnknownVariant", wire)))
     if f.validate is not None:
         checks.append(F.when(~f.validate(value), error("CustomRejected", wire)))
-    bad = F.coalesce(*checks)
-    null = error("UnexpectedType", wire) if not f.nullable else F.lit(None).cast(ERROR)
-    given = F.when(kind == "null", null).otherwise(bad)
-    if f.default is not MISSING:
-        absent, fallback = F.lit(None).cast(ERROR), F.lit(f.default).cast(f.spark_type)
-    elif f.nullable:
-        absent, fallback = F.lit(None).cast(ERROR), F.lit(None).cast(f.spark_type)
-    else:
-        absent, fallback = error("MissingField", wire), F.lit(None).cast(f.spark_type)
-    return F.when(present, value.cast(f.spark_type)).otherwise(fallback), F.when(present, given).otherwise(absent)
+    none = F.lit(None).cast(ERROR)
+    bad = F.coalesce(*checks, none)
+    given = F.when(found["kind"] == "null", none if f.nullable else error("UnexpectedType", wire)).otherwise(bad)
+    optional = f.default is not MISSING or f.nullable
+    fallback = F.lit(None if f.default is MISSING else f.default).cast(f.spark_type)
+    return F.struct(
+        F.when(found["present"], value.cast(f.spark_type)).otherwise(fallback).alias("value"),
+        F.when(found["present"], given).otherwise(none if optional else error("MissingField", wire)).alias("error"),
+    )
+
+
+def _field(line: Column, keys: Column, f: FieldSpec, record: RecordSpec) -> Column:
+    """struct<value, error> of a field."""
+    if f.skip_decode:
+        return F.struct(F.lit(f.default).cast(f.spark_type).alias("value"), F.lit(None).cast(ERROR).alias("error"))
+    return let(_found(line, keys, f, record), lambda found: let(_typed(found, f)[0], lambda value: _judge(found, value, f, record)))
 
 
 def parse_json_record(line: Column, record: RecordSpec) -> Column:
     """struct<value, _error> of a line read as the record."""
-    keys = F.json_object_keys(line)
     known = [n for f in record.fields for n in (record.wire_name(f), *f.aliases)]
-    checks = [F.when(~F.regexp_like(line, F.lit(_TRAILING)) | keys.isNull(), F.when(F.regexp_like(line, F.lit(r"^[ \t\r\n]*[\[\"0-9tfn-]")), error("UnexpectedType")).otherwise(error("SyntaxError")))]
-    if record.duplicates == "reject":
-        checks.append(F.when(F.size(keys) != F.size(F.array_distinct(keys)), error("DuplicateField")))
-        slots = [F.size(F.filter(keys, lambda k: k.isin(*names))) > 1 for names in [[record.wire_name(f), *f.aliases] for f in record.fields] if len(names) > 1]
-        checks += [F.when(s, error("DuplicateField")) for s in slots]
-    if record.unknown_fields == "reject":
-        extra = F.array_except(keys, F.array(*[F.lit(n) for n in known]))
-        checks.append(F.when(F.size(extra) > 0, F.struct(F.lit("UnknownField").alias("code"), F.get(extra, F.lit(0)).alias("field")).cast(ERROR)))
-    values = []
-    for f in record.fields:
-        value, wrong = _field(line, keys, f, record)
-        values.append(value.alias(f.field))
-        checks.append(wrong)
-    bad = F.coalesce(*checks)
-    return F.struct(F.when(bad.isNull(), F.struct(*values)).alias("value"), bad.alias("_error"))
+
+    def shape(s: Column) -> list[Column]:
+        """What may be wrong with the object as a whole."""
+        line, keys = s["line"], s["keys"]
+        other = F.regexp_like(line, F.lit(r"^[ \t\r\n]*[\[\"0-9tfn-]"))
+        checks = [F.when(~F.regexp_like(line, F.lit(_TRAILING)) | keys.isNull(), F.when(other, error("UnexpectedType")).otherwise(error("SyntaxError")))]
+        if record.duplicates == "reject":
+            checks.append(F.when(F.size(keys) != F.size(F.array_distinct(keys)), error("DuplicateField")))
+            slots = [[record.wire_name(f), *f.aliases] for f in record.fields if f.aliases]
+            checks += [F.when(F.size(F.array_intersect(keys, F.array(*[F.lit(n) for n in names]))) > 1, error("DuplicateField")) for names in slots]
+        if record.unknown_fields == "reject":
+            extra = F.array_except(keys, F.array(*[F.lit(n) for n in known]))
+            checks.append(F.when(F.size(extra) > 0, F.struct(F.lit("UnknownField").alias("code"), F.get(extra, F.lit(0)).alias("field")).cast(ERROR)))
+        return checks
+
+    def fields(s: Column) -> Column:
+        parts = [_field(s["line"], s["keys"], f, record).alias(f.field) for f in record.fields]
+        return F.struct(F.coalesce(*shape(s)).alias("whole"), F.struct(*parts).alias("fields"))
+
+    def result(r: Column) -> Column:
+        bad = F.coalesce(r["whole"], *[r["fields"][f.field]["error"] for f in record.fields])
+        values = F.struct(*[r["fields"][f.field]["value"].alias(f.field) for f in record.fields])
+        return let(bad, lambda e: F.struct(F.when(e.isNull(), values).alias("value"), e.alias("_error")))
+
+    source = F.struct(line.alias("line"), F.json_object_keys(line).alias("keys"))
+    return let(source, lambda s: let(fields(s), result))
 
 
 def parse_json_union(line: Column, union: UnionSpec) -> Column:
     """struct<_tag, one nullable struct an arm, _other (raw), _error> of a line read as a tagged union."""
-    tag = tag_of(line, union)
+    return let(F.struct(line.alias("line"), tag_of(line, union).alias("tag")), lambda s: _union(s["line"], s["tag"], union))
+
+
+def _union(line: Column, tag: Column, union: UnionSpec) -> Column:
     arms, wrong = [], F.when(tag.isNull(), error("UnknownVariant"))
+    payloads = []
     for arm, record in union.arms.items():
         wires = [arm, *[w for w, to in union.aliases.items() if to == arm]]
         if union.tag is None:
@@ -137,12 +165,18 @@ def parse_json_union(line: Column, union: UnionSpec) -> Column:
         else:  # the tag lies among the fields
             payload = line
             spec = RecordSpec((*record.fields, FieldSpec("__tag", name=union.tag)), record.unknown_fields, record.duplicates, record.rename_all)
-        parsed = parse_json_record(payload, spec)
-        value = parsed["value"].dropFields("__tag") if union.tag and not union.content else parsed["value"]
-        arms.append(F.when(tag == arm, value).alias(arm))
-        wrong = F.when(tag == arm, parsed["_error"]).otherwise(wrong)
+        payloads.append(F.when(tag == arm, parse_json_record(payload, spec)).alias(arm))
     other = F.when(tag == "other", line) if union.other else F.lit(None).cast("string")
-    return F.struct(tag.alias("_tag"), *arms, other.alias("_other"), wrong.alias("_error"))
+
+    def result(parsed: Column) -> Column:
+        bad = wrong
+        for arm in union.arms:
+            value = parsed[arm]["value"]
+            arms.append((value.dropFields("__tag") if union.tag and not union.content else value).alias(arm))
+            bad = F.when(tag == arm, parsed[arm]["_error"]).otherwise(bad)
+        return F.struct(tag.alias("_tag"), *arms, other.alias("_other"), bad.alias("_error"))
+
+    return let(F.struct(*payloads), result)
 
 
 def write_json_record(record: RecordSpec, column: Callable[[str], Column] = F.col) -> Column:
@@ -182,25 +216,35 @@ def parse_versioned(
     """
     keys = F.json_object_keys(line)
     version = F.coalesce(int_of(F.get_json_object(line, "$.v")), F.when(~F.array_contains(keys, "v"), F.lit(unstamped).cast("bigint")))
-    data = F.get_json_object(line, "$.data")
-    now = parse_json_record(data, record)
-    value, wrong = F.when(version == current, now["value"]), F.when(version == current, now["_error"])
+    source = F.struct(keys.alias("keys"), version.alias("version"), F.get_json_object(line, "$.data").alias("data"))
     shape = "struct<" + ",".join(f"`{f.field}`:{f.spark_type}" for f in record.fields) + ">"
-    for old, (spec, migrate) in migrations.items():
-        parsed = parse_json_record(data, spec)
-        value = F.when((version == old) & parsed["_error"].isNull(), migrate(parsed["value"]).cast(shape)).otherwise(value)
-        wrong = F.when(version == old, parsed["_error"]).otherwise(wrong)
-    stray = F.array_except(keys, F.array(F.lit("v"), F.lit("data")))
-    bad = F.coalesce(
-        F.when(keys.isNull(), error("SyntaxError")),
-        F.when(F.size(keys) != F.size(F.array_distinct(keys)), error("DuplicateField")),
-        F.when(F.size(stray) > 0, error("UnknownField")),
-        F.when(~F.array_contains(keys, "data"), error("MissingField", "data")),
-        F.when(version.isNull(), error("UnexpectedType", "v")),
-        F.when(~version.isin(current, *migrations), error("UnknownVariant", "v")),
-        wrong,
-    )
-    return F.struct(F.when(bad.isNull(), value).alias("value"), version.alias("from_version"), (version != current).alias("migrated"), bad.alias("_error"))
+
+    def read(s: Column) -> Column:
+        """struct<v<version>: struct<value, _error>> of the version that the line has."""
+        arms = [F.when(s["version"] == current, parse_json_record(s["data"], record)).alias("now")]
+        arms += [F.when(s["version"] == old, parse_json_record(s["data"], spec)).alias(f"v{old}") for old, (spec, _) in migrations.items()]
+        return let(F.struct(*arms), lambda p: judge(s, p))
+
+    def judge(s: Column, p: Column) -> Column:
+        keys, version = s["keys"], s["version"]
+        value, wrong = p["now"]["value"], p["now"]["_error"]
+        for old, (_, migrate) in migrations.items():
+            mine = p[f"v{old}"]
+            value = F.when((version == old) & mine["_error"].isNull(), migrate(mine["value"]).cast(shape)).otherwise(value)
+            wrong = F.when(version == old, mine["_error"]).otherwise(wrong)
+        stray = F.array_except(keys, F.array(F.lit("v"), F.lit("data")))
+        bad = F.coalesce(
+            F.when(keys.isNull(), error("SyntaxError")),
+            F.when(F.size(keys) != F.size(F.array_distinct(keys)), error("DuplicateField")),
+            F.when(F.size(stray) > 0, error("UnknownField")),
+            F.when(~F.array_contains(keys, "data"), error("MissingField", "data")),
+            F.when(version.isNull(), error("UnexpectedType", "v")),
+            F.when(~version.isin(current, *migrations), error("UnknownVariant", "v")),
+            wrong,
+        )
+        return let(bad, lambda e: F.struct(F.when(e.isNull(), value).alias("value"), version.alias("from_version"), (version != current).alias("migrated"), e.alias("_error")))
+
+    return let(source, read)
 
 
 def write_versioned(current: int, record: RecordSpec, column: Callable[[str], Column] = F.col) -> Column:

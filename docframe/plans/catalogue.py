@@ -71,13 +71,13 @@ EVENT_UNION = UnionSpec(
 
 @query(
     f"""SELECT event_id, CASE WHEN event_type IN ('purchase', 'click', 'signup') THEN event_type ELSE 'other' END AS tag,
-        CASE WHEN event_type = 'purchase' THEN {K} END AS purchase_k, CASE WHEN event_type = 'click' THEN {K} END AS click_k,
+        CASE WHEN event_type = 'purchase' THEN CAST({K} AS VARCHAR) END AS purchase_k, CASE WHEN event_type = 'click' THEN CAST({K} AS VARCHAR) END AS click_k,
         CASE WHEN event_type NOT IN ('purchase', 'click', 'signup') THEN '{{"' || event_type || '":' || props || '}}' END AS other_line FROM events"""
 )
 def q04_union_routing(spark, sf_dir):
     line = F.concat(F.lit('{"'), F.col("event_type"), F.lit('":'), F.col("props"), F.lit("}"))
     events = table(spark, sf_dir, "events").withColumn("u", records.parse_json_union(line, EVENT_UNION))
-    return events.select("event_id", F.col("u._tag").alias("tag"), F.col("u.purchase.k").alias("purchase_k"), F.col("u.click.k").alias("click_k"), F.col("u._other").alias("other_line"))
+    return events.select("event_id", F.col("u._tag").alias("tag"), F.col("u.purchase.k").cast("string").alias("purchase_k"), F.col("u.click.k").cast("string").alias("click_k"), F.col("u._other").alias("other_line"))
 
 
 @query(f"SELECT event_id, {K} AS k, CASE WHEN event_id % 3 = 0 THEN 'warn' ELSE 'info' END AS level FROM events")
@@ -112,7 +112,7 @@ def q07_json_write_nulls(spark, sf_dir):
 
 @query(
     f"""SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL WHEN event_id % 2 = 0 THEN 'app' ELSE event_type END AS scope_,
-        CASE WHEN event_id % 5 = 4 THEN NULL ELSE {K} END AS at_, event_id % 2 = 0 OR event_id % 5 = 4 AS migrated,
+        CASE WHEN event_id % 5 = 4 THEN NULL ELSE CAST({K} AS VARCHAR) END AS at_, event_id % 2 = 0 OR event_id % 5 = 4 AS migrated,
         CASE WHEN event_id % 5 = 4 THEN 'UnknownVariant' END AS refused FROM events"""
 )
 def q08_versioned_migrate(spark, sf_dir):
@@ -125,7 +125,7 @@ def q08_versioned_migrate(spark, sf_dir):
     v7 = F.concat(F.lit('{"v":7,"data":'), F.col("props"), F.lit("}"))
     line = F.when(F.col("event_id") % 5 == 4, v7).when(F.col("event_id") % 2 == 0, v1).otherwise(v2)
     events = table(spark, sf_dir, "events").withColumn("p", records.parse_versioned(line, 2, now, {1: (old, migrate)}))
-    return events.select("event_id", F.col("p.value.scope").alias("scope_"), F.col("p.value.at").alias("at_"), F.col("p.migrated").alias("migrated"), F.col("p._error.code").alias("refused"))
+    return events.select("event_id", F.col("p.value.scope").alias("scope_"), F.col("p.value.at").cast("string").alias("at_"), F.col("p.migrated").alias("migrated"), F.col("p._error.code").alias("refused"))
 
 
 @query("""SELECT p_partkey, p_name, p_type || ',"' || p_brand AS odd, p_size FROM part""")
@@ -166,14 +166,14 @@ _INT_TEXT = "CASE WHEN event_id % 4 = 0 THEN '0' || user_id WHEN event_id % 4 =
 
 
 @query(
-    f"""SELECT event_id, CASE WHEN regexp_matches({_INT_TEXT}, '^-?(0|[1-9][0-9]*)$') THEN TRY_CAST({_INT_TEXT} AS BIGINT) END AS digits_only,
-        CASE WHEN event_id % 4 = 1 THEN user_id WHEN regexp_matches({_INT_TEXT}, '^-?(0|[1-9][0-9]*)$') THEN TRY_CAST({_INT_TEXT} AS BIGINT) END AS whole FROM events"""
+    f"""SELECT event_id, CASE WHEN regexp_matches({_INT_TEXT}, '^-?(0|[1-9][0-9]*)$') THEN CAST(TRY_CAST({_INT_TEXT} AS BIGINT) AS VARCHAR) END AS digits_only,
+        CAST(CASE WHEN event_id % 4 = 1 THEN user_id WHEN regexp_matches({_INT_TEXT}, '^-?(0|[1-9][0-9]*)$') THEN TRY_CAST({_INT_TEXT} AS BIGINT) END AS VARCHAR) AS whole FROM events"""
 )
 def q14_strict_integers(spark, sf_dir):
     u = F.col("user_id").cast("string")
     m = F.col("event_id") % 4
     spelled = F.when(m == 0, F.concat(F.lit("0"), u)).when(m == 1, F.concat(u, F.lit(".0"))).when(m == 2, F.concat(F.lit("-"), u)).otherwise(u)
-    return table(spark, sf_dir, "events").select("event_id", route.int_of(spelled).alias("digits_only"), route.whole_of(spelled).alias("whole"))
+    return table(spark, sf_dir, "events").select("event_id", route.int_of(spelled).cast("string").alias("digits_only"), route.whole_of(spelled).cast("string").alias("whole"))
 
 
 @query("""SELECT r_regionkey, '{"name":"' || r_name || '","len":' || length(r_name) || '}' AS with_length FROM region""")
