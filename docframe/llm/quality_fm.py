@@ -18,7 +18,6 @@ row every score is 0.5; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,9 +36,7 @@ FACTORS = 4
 #: Bound of the sample of labelled rows that the model is fitted on.
 TRAIN_ROWS = 12_000
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.1, 1e-5
-#: Words of a training text that count at most this often each; whole texts are read.
 SIZE = BUCKETS + STATS * BINS
-SYMBOLS = re.compile(r"[^\w\s]")
 
 
 def statistics(text: str, words: list[str], distinct: int) -> list[float]:
@@ -103,7 +100,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 1) -> dict:
     rng = np.random.default_rng(seed)
     model = {"w0": 0.0, "w": np.zeros(SIZE), "v": rng.normal(0, 0.05, (SIZE, FACTORS))}
     if not texts:
-        return model
+        return model | {"v": np.zeros((SIZE, FACTORS))}
     order = sorted(range(len(texts)), key=lambda i: zlib.crc32(texts[i].encode()))
     rows, y = [features(texts[i]) for i in order], np.array([labels[i] for i in order], float)
     share = min(max(y.mean(), 0.01), 0.99)
@@ -146,7 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_column:
         m = fit(texts, marks)
         yield pd.DataFrame({"w0": [m["w0"]], "w": [m["w"].astype("<f8").tobytes()], "v": [m["v"].astype("<f8").tobytes()]})
 
-    got = sample.repartition(1).mapInPandas(run, "w0 double, w binary, v binary").collect()[0]
+    rows = sample.repartition(1).mapInPandas(run, "w0 double, w binary, v binary").collect()
+    if not rows:  # Spark leaves out the task of an empty sample
+        return fit([], [])
+    got = rows[0]
     return {"w0": got["w0"], "w": np.frombuffer(got["w"], "<f8"), "v": np.frombuffer(got["v"], "<f8").reshape(SIZE, FACTORS)}
 
 
