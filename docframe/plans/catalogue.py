@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.functions import binary, route, text
+from docframe.functions import binary, documents, route, scalars, text
 from docframe.operators import keyed_text, lines, records
 from docframe.spec import FieldSpec, RecordSpec, UnionSpec
 
@@ -263,6 +263,48 @@ def q24_form_write(spark, sf_dir):
     return c.select("c_custkey", text.form_write({"q": F.col("c_name"), "segment": F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))}).alias("form"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{"k": ' || event_id || '}' ELSE '{"k": ' || CAST(json_extract_string(props, '$.k') AS VARCHAR) || ',"type":"' || event_type || '"}' END AS edited FROM events""")
+def q25_edit_by_pointer(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    changed = documents.edit_json(F.col("props"), "set", "/k", F.col("event_id").cast("string"))
+    grown = documents.edit_json(F.col("props"), "insert", "/type", F.concat(F.lit('"'), "event_type", F.lit('"')))
+    return events.select("event_id", F.when(F.col("event_id") % 2 == 0, changed).otherwise(grown).alias("edited"))
+
+
+@query("""SELECT event_id, '{"a":[1,' || event_id || '],"z":{"k":' || CAST(json_extract_string(props, '$.k') AS VARCHAR) || ',"type":"' || event_type || '"}}' AS canonical FROM events""")
+def q26_canonical_nested(spark, sf_dir):
+    inner = text.with_member(F.concat(F.lit('{ "type" :"'), F.col("event_type"), F.lit('"}')), "k", F.concat(F.get_json_object("props", "$.k"), F.lit(".0")))
+    doc = F.concat(F.lit('{"z": '), inner, F.lit(', "a":[1e0, '), F.col("event_id").cast("string"), F.lit("] }"))
+    return table(spark, sf_dir, "events").select("event_id", documents.canonical_json(doc).alias("canonical"))
+
+
+@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS links, CAST(len(regexp_extract_all(html, '</a>')) AS BIGINT) AS link_ends, CAST(len(regexp_extract_all(html, '<!--')) AS BIGINT) AS comments FROM pages""")
+def q27_markup_tokens(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("t", scalars.xml_tokens(F.col("html")))
+    count = lambda kind, name: F.size(F.filter("t", lambda x: (x["kind"] == kind) & (F.lit(name is None) | (x["name"] == F.lit(name))))).cast("long")
+    return pages.select("page_id", count("start", "a").alias("links"), count("end", "a").alias("link_ends"), count("comment", None).alias("comments"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'int' WHEN 1 THEN 'float' WHEN 2 THEN 'str' WHEN 3 THEN 'null' WHEN 4 THEN 'bool' ELSE 'str' END AS kind FROM events""")
+def q28_yaml_scalars(spark, sf_dir):
+    i, m = F.col("event_id").cast("string"), F.col("event_id") % 6
+    plain = F.when(m == 0, i).when(m == 1, F.concat(i, F.lit(".5e3"))).when(m == 2, F.lit("yes")).when(m == 3, F.lit("~")).when(m == 4, F.lit("True")).otherwise(F.concat(F.lit("0b"), i))
+    return table(spark, sf_dir, "events").select("event_id", scalars.yaml_kind(plain).alias("kind"))
+
+
+@query("""SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - 7200 AS seconds, 120 AS offset_minutes FROM events""")
+def q29_offset_times(spark, sf_dir):
+    written = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".123456789123+02:00"))
+    t = scalars.rfc3339(written)
+    return table(spark, sf_dir, "events").select("event_id", t["seconds"].alias("seconds"), t["offset_minutes"].alias("offset_minutes"))
+
+
+@query("""SELECT event_id, 0 AS ordinal, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 1, 'type', event_type FROM events""")
+def q30_members(spark, sf_dir):
+    line = text.with_member(F.col("props"), "type", F.concat(F.lit('"'), F.col("event_type"), F.lit('"')))
+    return table(spark, sf_dir, "events").select("event_id", F.inline(route.members(line)))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
