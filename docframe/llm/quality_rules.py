@@ -93,7 +93,7 @@ RULES = (
     Rule("repeated_windows", lambda m: 100 * m.n_repeat_words > 50 * m.n_words),
     Rule("many_symbols", lambda m: 10 * m.n_symbols > m.n_words),
     Rule("mean_word_length", lambda m: not 3 * m.n_words <= m.word_chars <= 10 * m.n_words),
-    Rule("repeated_lines", lambda m: 10 * m.n_dup_lines > 3 * len(m.lines)),
+    Rule("repeated_lines", lambda m: 2 * m.n_dup_lines > len(m.lines)),
     Rule("shouting", lambda m: 2 * m.n_upper_words > m.n_words),
 )
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
