@@ -131,7 +131,10 @@ def revealing_terms(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     near = scratch.keep(nearby_terms(docs), "near")
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("window").alias("windows"), F.count_distinct("doc_id").alias("together"))
-    pairs = scratch.keep(pairs.where(F.col("windows") >= SUPPORT), "pairs")
+    # a term stands in at least the documents where it is near any entity: what cannot reach the share is out already
+    reach = near.groupBy("term").agg(F.count_distinct("doc_id").alias("near_any"))
+    pairs = pairs.where(F.col("windows") >= SUPPORT).join(reach, "term").where(F.col("together") >= DISCLOSURE * F.col("near_any"))
+    pairs = scratch.keep(pairs.drop("near_any"), "pairs")
     terms = pairs.select("term").distinct()
     bounded = terms.count() <= BROADCAST_TERMS
     words = docs.select("doc_id", F.explode(_terms(F.col("text"))).alias("term"))
