@@ -31,15 +31,23 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: set[str] = set()
 
     def keep(self, df: DataFrame, table: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{table}")
+        self.tables.add(table)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{table}")
 
     def drop(self, table: str) -> None:
+        self.tables.discard(table)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_all_but(self, *tables: str) -> None:
+        """Removes what only earlier steps needed."""
+        for table in self.tables - set(tables):
+            self.drop(table)
+
 
 def text_of(column: str = "text") -> Column:
     """The text, null read as empty."""

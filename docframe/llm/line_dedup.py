@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docframe.llm.common import Scratch
+from docframe.llm.common import Scratch, numbered
 
 #: Words that a repeated run needs to be deleted.
 MIN_WORDS = 50
@@ -66,18 +66,12 @@ def _places(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
     rows = rows.withColumn("all", F.sum("w").over(in_run)).where(F.col("all") >= min_words)
     rows = rows.withColumn("before", F.sum("w").over(in_run.orderBy("p")) - F.col("w"))
     # documents are numbered in their order: partitions of a sorted table hold consecutive ranges
-    docs_in_order = scratch.keep(rows.select("i", "h").distinct().orderBy("i", "h").withColumn("m", F.monotonically_increasing_id()), "order")
-    sizes = docs_in_order.groupBy((F.shiftright("m", 33)).alias("part")).count().collect()  # a row a partition
-    base, starts = 0, {}
-    for part, n in sorted((r["part"], r["count"]) for r in sizes):
-        starts[part] = base
-        base += n
-    spark = docs.sparkSession
-    offsets = spark.createDataFrame(list(starts.items()), "part long, start long")
-    numbered = docs_in_order.withColumn("part", F.shiftright("m", 33)).join(F.broadcast(offsets), "part")
-    numbered = numbered.select(F.col("i").alias("__i"), F.col("h").alias("__h"), (F.col("start") + F.col("m") - F.shiftleft("part", 33)).alias("d"))
-    placed = rows.join(numbered, F.col("i").eqNullSafe(F.col("__i")) & (F.col("h") == F.col("__h")))
-    return scratch.keep(placed.select((F.shiftleft("d", LINE_BITS) + F.col("p")).alias("place"), "i", "h", "p", "a", "b", "w", "before"), "places")
+    in_order = numbered(rows.select(F.col("i").alias("__i"), F.col("h").alias("__h")).distinct().orderBy("__i", "__h"), "d", scratch, "order")
+    placed = rows.join(in_order, F.col("i").eqNullSafe(F.col("__i")) & (F.col("h") == F.col("__h")))
+    places = scratch.keep(placed.select((F.shiftleft("d", LINE_BITS) + F.col("p")).alias("place"), "i", "h", "p", "a", "b", "w", "before"), "places")
+    scratch.drop("lines")
+    scratch.drop("order")
+    return places
 
 
 def _levels(places: DataFrame, scratch: Scratch) -> list[DataFrame]:
@@ -117,6 +111,7 @@ def repeated_runs(places: DataFrame, scratch: Scratch) -> DataFrame:
         both = F.when(F.col("f").isNull(), F.array(wide)).when(F.col("f") == F.col("place"), F.array(wide, narrow)).otherwise(F.array(narrow))
         moved = active.select(F.explode(both).alias("r")).select("r.*")
         rows = scratch.keep(moved.unionAll(rows.where(F.col("k") <= j)), f"descent{j}")
+        scratch.drop(f"descent{j + 1}")
     return rows.where(F.col("name") < F.col("place")).groupBy("place").agg(F.max("n").alias("n"))
 
 
@@ -131,13 +126,17 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     long_runs = long_runs.select("place", (F.col("place") + F.col("n")).alias("stop"))
     reach = F.max("stop").over(Window.partitionBy("i", "h").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     covered = places.join(long_runs, "place", "left").withColumn("reach", reach).where(F.col("reach") > F.col("place"))
-    return scratch.keep(covered.groupBy("i", "h").agg(F.sort_array(F.collect_list("p")).alias("deleted")), "deleted")
+    found = scratch.keep(covered.groupBy("i", "h").agg(F.sort_array(F.collect_list("p")).alias("deleted")), "deleted")
+    scratch.drop_all_but("deleted")
+    return found
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with later copies of repeated runs cut from its text, and ``deleted``, the numbers of the lines that went."""
     gone = deleted_lines(docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("text")), min_words)
     gone = gone.select(F.col("i").alias("__i"), F.col("h").alias("__h"), F.col("deleted").alias("__deleted"))
+    # the same join at every size: whether the edits happen to be few must not change the plan
+    gone = gone.hint("shuffle_hash")
     text = F.col(text_column)
     joined = docs.drop("deleted").join(gone, F.col(id_column).eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__h")), "left")
     lines = F.split(text, "\n")
