@@ -13,6 +13,8 @@ All stages but the last return the columns of their input.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,20 +24,28 @@ from docframe.llm.common import Scratch
 from docframe.llm.queries import tokenizer_path
 
 
+def _aside(docs: DataFrame, name: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``docs``, whose own column of a name that the work adds is kept out of its way and put back."""
+    done = work(docs.withColumnRenamed(name, f"__own_{name}"))
+    return done.drop(name).withColumnRenamed(f"__own_{name}", name).select(*docs.columns)
+
+
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that every quality rule keeps."""
-    judged = quality_rules.quality_rules(docs.withColumnRenamed("kept", "__kept"))
-    judged = judged.where("kept").drop("kept")
-    return judged.withColumnRenamed("__kept", "kept").select(*docs.columns)
+    return _aside(docs, "kept", lambda d: quality_rules.quality_rules(d).where("kept"))
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with later copies of repeated runs of lines cut from their texts; n_chars follows."""
-    edited = lines.line_dedup(docs)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        edited = edited.withColumn("n_chars", F.when(F.size("deleted") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return edited.select(*docs.columns)
+
+    def work(d: DataFrame) -> DataFrame:
+        edited = lines.line_dedup(d)
+        if "n_chars" in d.columns:
+            kind = d.schema["n_chars"].dataType
+            edited = edited.withColumn("n_chars", F.when(F.size("deleted") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        return edited
+
+    return _aside(docs, "deleted", work)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +57,15 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data masked; n_chars follows the text."""
-    masked = pii.mask_pii(docs)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        masked = masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
-    return masked.select(*docs.columns)
+
+    def work(d: DataFrame) -> DataFrame:
+        masked = pii.mask_pii(d)
+        if "n_chars" in d.columns:
+            kind = d.schema["n_chars"].dataType
+            masked = masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
+        return masked
+
+    return _aside(docs, "spans", work)
 
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
