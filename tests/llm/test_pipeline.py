@@ -32,3 +32,15 @@ def test_stages_against_brute_force(spark):
         assert not brute.pii_spans(r["text"]) and (r["text"] == edited[r["doc_id"]] or not clean)
     run = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in run.select("doc_id").distinct().collect()} == left
+
+
+def test_stages_keep_columns_that_clash(spark):
+    import corpus_pipeline
+
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, good + " a@b.co", "k", "d", "s", 7), (2, None, "k", "d", "s", 7), (3, "", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, deleted string, spans string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "kept", "deleted", "spans", "n_chars"], name
+    assert [tuple(r) for r in docs.collect()] == [(1, good + " [EMAIL]", "k", "d", "s", len(good) + 8)]
