@@ -104,12 +104,35 @@ def unpack_tokens(packed: np.ndarray) -> np.ndarray:
     return np.cumsum(packed, dtype=np.int64)[packed != 65535]
 
 
-def _slices(counts: np.ndarray) -> tuple[bytes, bytes]:
-    """A range's part of both tables from the counts of its 2^24 numbers."""
-    seen = (counts.reshape(-1, 1 << (32 - SEEN_BITS)).max(1) > 1).astype(np.uint8)
-    most = counts.reshape(-1, 1 << (32 - LEVEL_BITS)).max(1)
-    level = np.where(most >= FREQUENT, np.floor(np.log2(np.maximum(most, 1) / FREQUENT)) + 1, 0).astype(np.uint8)
-    return np.packbits(seen).tobytes(), level.tobytes()
+class RangeCounts:
+    """How often each number of a range of 2^24 was added; dense only once many were."""
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+        self.size, self.dense = 0, None
+
+    def add(self, found: np.ndarray) -> None:
+        self.held.append(found)
+        self.size += len(found)
+        if self.size > 1 << 22:
+            if self.dense is None:
+                self.dense = np.zeros(1 << 24, np.uint32)
+            where, times = np.unique(np.concatenate(self.held), return_counts=True)
+            self.dense[where] += times.astype(np.uint32)
+            self.held, self.size = [], 0
+
+    def slices(self) -> tuple[bytes, bytes]:
+        """The range's part of both tables."""
+        where, times = np.unique(np.concatenate(self.held or [np.empty(0, np.int64)]), return_counts=True)
+        if self.dense is not None:
+            self.dense[where] += times.astype(np.uint32)
+            where = np.flatnonzero(self.dense)
+            times = self.dense[where]
+        seen, level = np.zeros(1 << (SEEN_BITS - 8), np.uint8), np.zeros(1 << (LEVEL_BITS - 8), np.uint8)
+        seen[where[times > 1] >> (32 - SEEN_BITS)] = 1
+        often = times >= FREQUENT
+        np.maximum.at(level, where[often] >> (32 - LEVEL_BITS), (np.log2(times[often] / FREQUENT) + 1).astype(np.uint8))
+        return np.packbits(seen).tobytes(), level.tobytes()
 
 
 def shingle_tables(texts: DataFrame, n: int) -> tuple[bytes, bytes]:
@@ -125,16 +148,14 @@ def shingle_tables(texts: DataFrame, n: int) -> tuple[bytes, bytes]:
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "packed"])
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, counts = None, None
+        part, counts = None, RangeCounts()
         for f in frames:
             for p, packed in zip(f["part"], f["packed"], strict=True):
                 if p != part:
                     if part is not None:
                         yield _table_row(part, counts)
-                    part, counts = p, np.zeros(1 << 24, np.uint32)
-                found = unpack_tokens(np.frombuffer(packed, np.uint16))
-                where, times = np.unique(found, return_counts=True)
-                counts[where] += times.astype(np.uint32)
+                    part, counts = p, RangeCounts()
+                counts.add(unpack_tokens(np.frombuffer(packed, np.uint16)))
         if part is not None:
             yield _table_row(part, counts)
 
@@ -147,8 +168,8 @@ def shingle_tables(texts: DataFrame, n: int) -> tuple[bytes, bytes]:
     return bytes(seen), bytes(level)
 
 
-def _table_row(part: int, counts: np.ndarray) -> pd.DataFrame:
-    seen, level = _slices(counts)
+def _table_row(part: int, counts: RangeCounts) -> pd.DataFrame:
+    seen, level = counts.slices()
     return pd.DataFrame({"part": [part], "seen": [seen], "level": [level]})
 
 
@@ -315,6 +336,7 @@ def near_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     named = reps.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_set = scratch.keep(named.join(least, "root").select("digest", "component_id"), "components")
+    scratch.drop_all_but("sets", "components")
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "digest")
     joined = rows.join(by_set, "digest", "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
