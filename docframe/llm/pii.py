@@ -8,8 +8,11 @@ the entity beside it, and the pointwise mutual information of the two. A term
 beyond the thresholds is marked wherever it stands in the corpus; masking
 generalises it, or removes it when it reveals the entity almost surely.
 
-A term needs support from distinct windows around the entity, so copies of one
-passage count once and make nothing revealing.
+The share is judged by its lower confidence bound over distinct windows around the
+entity, so copies of one passage count once and make nothing revealing, and an
+entity that is named twice can have revealing terms. What is protected is each
+value and each kind of value: terms near values that are named once only are
+weighed by all values of their kind.
 
 The patterns are written so that no text makes them slow: a match may start only
 at the head of a run of its first class, or where the last match ended, and
@@ -41,8 +44,8 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 #: Words on each side of an entity that count as near it.
 WINDOW = 10
-#: Distinct windows in which a term must stand beside an entity.
-SUPPORT = 3
+#: Standard deviations of the lower confidence bound on a share (one-sided, 90 %).
+CONFIDENCE = 1.2816
 #: Share of a term's documents that name the entity, and bits of mutual information, from which it reveals it.
 DISCLOSURE, BITS = 0.5, 4.0
 #: Share from which a term is removed rather than generalised.
@@ -108,7 +111,7 @@ def _terms(text: Column) -> Column:
 
 
 def nearby_terms(docs: DataFrame) -> DataFrame:
-    """entity, term, doc_id and window for each term within ``WINDOW`` words of an entity; ``docs`` has doc_id, text, base."""
+    """entity, kind, term, doc_id and window for each term within ``WINDOW`` words of an entity; ``docs`` has doc_id, text, base."""
     line = docs.where(F.size("base") > 0).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     line = line.withColumn("base", base_spans(F.col("line"))).where(F.size("base") > 0)
 
@@ -117,34 +120,51 @@ def nearby_terms(docs: DataFrame) -> DataFrame:
         before = F.split(F.substr(F.col("line"), F.greatest(s["start"] - reach, F.lit(0)) + 1, F.least(s["start"], F.lit(reach))), " ")
         after = F.split(F.substr(F.col("line"), s["end"] + 1, F.lit(reach)), " ")
         near = F.concat(F.slice(F.reverse(before), 1, WINDOW + 1), F.slice(after, 1, WINDOW + 1))
-        return F.struct(s["value"].alias("entity"), _terms(F.array_join(near, " ")).alias("terms"))
+        return F.struct(s["value"].alias("entity"), s["kind"].alias("kind"), _terms(F.array_join(near, " ")).alias("terms"))
 
-    near = line.select("doc_id", F.explode(F.transform("base", around)).alias("x")).select("doc_id", "x.entity", "x.terms")
+    near = line.select("doc_id", F.explode(F.transform("base", around)).alias("x")).select("doc_id", "x.entity", "x.kind", "x.terms")
     near = near.withColumn("window", F.xxhash64("terms"))
-    return near.select("entity", F.explode("terms").alias("term"), "doc_id", "window")
+    return near.select("entity", "kind", F.explode("terms").alias("term"), "doc_id", "window")
+
+
+def _bound(share: Column, mentions: Column) -> Column:
+    """Wilson's lower bound of a share whose hits are ``mentions`` distinct ones."""
+    n = mentions / share
+    spread = CONFIDENCE * F.sqrt(share * (1 - share) / n + CONFIDENCE**2 / (4 * n * n))
+    return (share + CONFIDENCE**2 / (2 * n) - spread) / (1 + CONFIDENCE**2 / n)
+
+
+def _targets(named: DataFrame) -> DataFrame:
+    """Each row once for its entity and once for the kind of it, as ``target``; no value equals the name of a kind."""
+    kind = F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    return named.withColumn("target", F.explode(F.array("entity", kind))).drop("entity", "kind")
 
 
 def revealing_terms(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """term and disclosure (the share for its strongest entity) of every term beyond the thresholds.
+    """term and disclosure (the share for its strongest entity or kind) of every term beyond the thresholds.
 
     ``docs`` has doc_id, text and base, the pattern spans.
     """
     near = scratch.keep(nearby_terms(docs), "near")
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("window").alias("windows"), F.count_distinct("doc_id").alias("together"))
+    both = _targets(near)
+    pairs = both.groupBy("target", "term").agg(F.count_distinct("window").alias("windows"), F.count_distinct("doc_id").alias("together"))
     # a term stands in at least the documents where it is near any entity: what cannot reach the share is out already
     reach = near.groupBy("term").agg(F.count_distinct("doc_id").alias("near_any"))
-    pairs = pairs.where(F.col("windows") >= SUPPORT).join(reach, "term").where(F.col("together") >= DISCLOSURE * F.col("near_any"))
+    pairs = pairs.join(reach, "term").where(_bound(F.col("together") / F.col("near_any"), F.col("windows")) >= DISCLOSURE)
     pairs = scratch.keep(pairs.drop("near_any"), "pairs")
     terms = pairs.select("term").distinct()
     bounded = terms.count() <= BROADCAST_TERMS
     words = docs.select("doc_id", F.explode(_terms(F.col("text"))).alias("term"))
     met = words.join(F.broadcast(terms) if bounded else terms, "term", "left_semi")
     of_term = met.groupBy("term").agg(F.count("*").alias("of_term"))
-    of_entity = near.groupBy("entity").agg(F.count_distinct("doc_id").alias("of_entity"))
-    joined = pairs.join(of_term, "term").join(of_entity, "entity").withColumn("n", F.lit(docs.count()))
-    share = F.col("together") / F.col("of_term")
-    bits = F.log2(F.col("n") * F.col("together") / (F.col("of_term") * F.col("of_entity")))
-    found = joined.where((share >= DISCLOSURE) & (bits >= BITS)).groupBy("term").agg(F.max(share).alias("disclosure"))
+    share = F.least(F.col("together") / F.col("of_term"), F.lit(1.0))
+    strong = pairs.join(of_term, "term").where(_bound(share, F.col("windows")) >= DISCLOSURE)
+    of_target = both.groupBy("target").agg(F.count_distinct("doc_id").alias("of_target"))
+    # all terms of a kind share its key, so the few kinds are broadcast
+    is_kind = F.col("target").isin(*KINDS)
+    joined = strong.where(~is_kind).join(of_target.where(~is_kind), "target").unionByName(strong.where(is_kind).join(F.broadcast(of_target.where(is_kind)), "target"))
+    bits = F.log2(F.lit(docs.count()) * F.col("together") / (F.col("of_term") * F.col("of_target")))
+    found = joined.where(bits >= BITS).groupBy("term").agg(F.max(share).alias("disclosure"))
     return scratch.keep(found, "revealing")
 
 

@@ -156,6 +156,35 @@ def test_revealing_terms(spark):
     assert pii.find_pii(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def prose(rng, n):
+    """Words of letters, 40 different ones."""
+    return text(rng, n).translate(str.maketrans("w0123456789", "vabcdefghij")).replace("v", "vor")
+
+
+def spelled(spark, rows):
+    got = pii.find_pii(frame(spark, [(i, t, "k", 1, 2) for i, t in rows])).select("doc_id", "text", pii.spell(F.col("spans")).alias("s")).collect()
+    return [(r["doc_id"], r["text"], r["s"]) for r in got]
+
+
+def marks(found, term):
+    """Whether the term is marked in each row that holds it."""
+    for _, t, s in found:
+        if term in (t or ""):
+            at = t.index(term)
+            yield f"term:{at}:{at + len(term)}" in s
+
+
+def test_rarely_named_entities_have_revealing_terms(spark):
+    rng = random.Random(7)
+    plain = [prose(rng, 30) for _ in range(150)]
+    twice = [f"{prose(rng, 5)} Zebulon {prose(rng, 5)} zeb@x.com {prose(rng, 12)}" for _ in range(2)]
+    once = [f"{prose(rng, 5)} Quuxley {prose(rng, 5)} q{i}@y.com {prose(rng, 12)}" for i in range(4)]
+    lone = [f"{prose(rng, 5)} Solitary {prose(rng, 5)} 10.1.2.3 {prose(rng, 12)}"]
+    found = spelled(spark, enumerate(plain + twice + once + lone))
+    assert all(marks(found, "Zebulon")) and all(marks(found, "Quuxley"))
+    assert not any(marks(found, "Solitary")) and all("term" not in s for i, _, s in found if i < 150)
+
+
 def test_overlapping_spans_mask_once(spark):
     got = pii.mask_pii(docs(spark, ["call +4111 1111 1111 1111 or 10.0.0.1@a.b", None])).orderBy("doc_id").collect()
     assert got[0]["text"].count("[") == 2 and "1111" not in got[0]["text"] and got[1]["text"] is None
