@@ -9,7 +9,7 @@ beyond the thresholds is marked wherever it stands in the corpus; masking
 generalises it, or removes it when it reveals the entity almost surely.
 
 The share is judged by its lower confidence bound over distinct windows around the
-entity, so copies of one passage count once and make nothing revealing, and an
+entity, which reach across lines and wider than the terms that are weighed, so copies of one passage count once and make nothing revealing, and an
 entity that is named twice can have revealing terms. What is protected is each
 value and each kind of value: terms near values that are named once only are
 weighed by all values of their kind.
@@ -26,7 +26,7 @@ id; a null id is an id; an empty table gives an empty table; clashing columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docframe.llm.common import Scratch, text_of
@@ -44,6 +44,8 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 #: Words on each side of an entity that count as near it.
 WINDOW = 10
+#: Words on each side that tell copies of a passage from mentions of their own.
+CONTEXT = 50
 #: Standard deviations of the lower confidence bound on a share (one-sided, 90 %).
 CONFIDENCE = 1.2816
 #: Share of a term's documents that name the entity, and bits of mutual information, from which it reveals it.
@@ -110,21 +112,45 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda t: F.char_length(t).between(3, 40))
 
 
-def nearby_terms(docs: DataFrame) -> DataFrame:
-    """entity, kind, term, doc_id and window for each term within ``WINDOW`` words of an entity; ``docs`` has doc_id, text, base."""
-    line = docs.where(F.size("base") > 0).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    line = line.withColumn("base", base_spans(F.col("line"))).where(F.size("base") > 0)
+def _words(text: Column) -> Column:
+    """A text cut before each run of letters: pieces of a word and what follows it; the first may hold no word."""
+    return F.regexp_extract_all(text, F.lit(r"\p{L}++\P{L}*+|\P{L}++"), F.lit(0))
 
-    def around(s: Column) -> Column:
-        reach = 40 * WINDOW
-        before = F.split(F.substr(F.col("line"), F.greatest(s["start"] - reach, F.lit(0)) + 1, F.least(s["start"], F.lit(reach))), " ")
-        after = F.split(F.substr(F.col("line"), s["end"] + 1, F.lit(reach)), " ")
-        near = F.concat(F.slice(F.reverse(before), 1, WINDOW + 1), F.slice(after, 1, WINDOW + 1))
-        return F.struct(s["value"].alias("entity"), s["kind"].alias("kind"), _terms(F.array_join(near, " ")).alias("terms"))
 
-    near = line.select("doc_id", F.explode(F.transform("base", around)).alias("x")).select("doc_id", "x.entity", "x.kind", "x.terms")
-    near = near.withColumn("window", F.xxhash64("terms"))
-    return near.select("entity", "kind", F.explode("terms").alias("term"), "doc_id", "window")
+def nearby_terms(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """entity, kind, term, doc_id and window for each term within ``WINDOW`` words of an entity; ``docs`` has doc_id, text, base.
+
+    A word is a run of letters, so line ends, blanks and numbers use up nothing of the
+    reach; words that the entity overlaps are its own. The window is a hash of
+    ``CONTEXT`` words on each side with all that stands between them.
+    """
+    named = docs.where(F.size("base") > 0).withColumn("row", F.monotonically_increasing_id())
+    named = scratch.keep(named.select("row", "doc_id", "text", "base"), "named")
+    piece = named.select("row", F.posexplode(_words(F.col("text"))).alias("pos", "piece"))
+    so_far = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    piece = piece.withColumn("at", F.coalesce(F.sum(F.char_length("piece").cast("long")).over(so_far), F.lit(0)))
+    word = F.regexp_extract("piece", r"^\p{L}*", 0)
+    piece = piece.select("row", "at", F.lit(1).alias("turn"), "pos", (F.col("at") + F.char_length(word)).alias("stop"))
+
+    # both sides of each entity among the starts of the words: a side comes before a word that starts at its place
+    side = named.select("row", "doc_id", F.posexplode("base").alias("mention", "s"))
+    side = side.select("row", "doc_id", "mention", F.col("s.value").alias("entity"), F.col("s.kind").alias("kind"), F.explode(F.array(F.struct(F.col("s.start").alias("at"), F.lit(True).alias("left")), F.struct(F.col("s.end").alias("at"), F.lit(False).alias("left")))).alias("x"))
+    side = side.select("row", "doc_id", "mention", "entity", "kind", F.col("x.at").cast("long").alias("at"), "x.left", F.lit(0).alias("turn"))
+    before = Window.partitionBy("row").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, -1)
+    placed = piece.unionByName(side, allowMissingColumns=True)
+    placed = placed.withColumn("last", F.coalesce(F.max("pos").over(before), F.lit(-1))).withColumn("last_stop", F.max("stop").over(before)).where("turn = 0")
+    # the last word on the left ends before the entity, the first on the right starts behind it
+    whole = F.col("last") - F.when(F.col("last_stop") > F.col("at"), 1).otherwise(0)
+    reach = F.when(F.col("left"), F.transform(F.sequence(F.lit(0), F.lit(CONTEXT - 1)), lambda d: F.struct((whole - d).alias("pos"), (-1 - d).alias("step"))))
+    reach = F.coalesce(reach, F.transform(F.sequence(F.lit(1), F.lit(CONTEXT)), lambda d: F.struct((F.col("last") + d).alias("pos"), d.alias("step"))))
+    reach = placed.select("row", "mention", "doc_id", "entity", "kind", F.explode(reach).alias("x")).select("row", "mention", "doc_id", "entity", "kind", "x.*")
+
+    text = named.select("row", F.posexplode(_words(F.col("text"))).alias("pos", "piece"))
+    around = reach.join(text, ["row", "pos"]).groupBy("row", "mention", "doc_id", "entity", "kind")
+    around = around.agg(F.sort_array(F.collect_list(F.struct("step", "piece"))).alias("around"))
+    close = F.filter("around", lambda w: F.abs(w["step"]) <= WINDOW)
+    terms = _terms(F.array_join(F.transform(close, lambda w: F.regexp_extract(w["piece"], r"^\p{L}*", 0)), " "))
+    return around.select("entity", "kind", F.explode(terms).alias("term"), "doc_id", F.xxhash64("around").alias("window"))
 
 
 def _bound(share: Column, mentions: Column) -> Column:
@@ -145,7 +171,7 @@ def revealing_terms(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     ``docs`` has doc_id, text and base, the pattern spans.
     """
-    near = scratch.keep(nearby_terms(docs), "near")
+    near = scratch.keep(nearby_terms(docs, scratch), "near")
     both = _targets(near)
     pairs = both.groupBy("target", "term").agg(F.count_distinct("window").alias("windows"), F.count_distinct("doc_id").alias("together"))
     # a term stands in at least the documents where it is near any entity: what cannot reach the share is out already

@@ -185,6 +185,39 @@ def test_rarely_named_entities_have_revealing_terms(spark):
     assert not any(marks(found, "Solitary")) and all("term" not in s for i, _, s in found if i < 150)
 
 
+def test_terms_stand_near_across_lines_and_blanks(spark):
+    rng = random.Random(8)
+    plain = [prose(rng, 30) for _ in range(150)]
+    above = [f"{prose(rng, 5)}\nZebulon Quux\n{i}\n\nzeb@x.com" for i in range(3)]
+    wide = [f"{prose(rng, 9)} Farrell{' ' * 900}{prose(rng, 3)}   far@x.com {prose(rng, 9)}" for _ in range(3)]
+    line = [f"{prose(rng, 60)}\nContact Ordway: ord@x.com\n{prose(rng, 60)}" for _ in range(3)]
+    copies = [f"{p}\n{prose(random.Random(1), 120)} Copycat cop@x.com {prose(random.Random(2), 120)}" for p in plain[:3]]
+    far = [f"Distant {prose(rng, 10)} dis@x.com {prose(rng, 30)}" for _ in range(3)]
+    found = spelled(spark, enumerate(plain + above + wide + line + copies + far))
+    for name in ("Zebulon", "Quux", "Farrell", "Ordway"):
+        assert all(marks(found, name)), name
+    assert not any(marks(found, "Copycat")) and not any(marks(found, "Distant"))
+
+
+def test_words_near_equal_brute_force(spark, monkeypatch):
+    import re
+
+    from docframe.llm.common import Scratch
+
+    monkeypatch.setattr(pii, "WINDOW", 3)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["aaa", "bbb ", "ccc", "ddd\n", " ", ", ", "éèê", "\U00010400" * 3, "x@y.zzz", "1.2.3.4", "@", "日本語", "-"]) for _ in range(rng.randrange(60))) for _ in range(80)]
+    want = set()
+    for i, t in enumerate(texts):
+        runs = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+", t)]
+        for a, _, b, kind in brute.pii_spans(t):
+            near = [r[2] for r in runs if r[1] <= a][-3:] + [r[2] for r in runs if r[0] >= b][:3]
+            want |= {(t[a:b], w, i) for w in near if 3 <= len(w) <= 40}
+    keyed = docs(spark, texts).select("doc_id", "text", pii.base_spans(F.col("text")).alias("base"))
+    got = {(r["entity"], r["term"], r["doc_id"]) for r in pii.nearby_terms(keyed, Scratch(spark, "near")).collect()}
+    assert got == want and len(want) > 200
+
+
 def test_overlapping_spans_mask_once(spark):
     got = pii.mask_pii(docs(spark, ["call +4111 1111 1111 1111 or 10.0.0.1@a.b", None])).orderBy("doc_id").collect()
     assert got[0]["text"].count("[") == 2 and "1111" not in got[0]["text"] and got[1]["text"] is None
