@@ -118,14 +118,14 @@ def _words(text: Column) -> Column:
 
 
 def nearby_terms(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """entity, kind, term, doc_id and window for each term within ``WINDOW`` words of an entity; ``docs`` has doc_id, text, base.
+    """entity, kind, term, doc and window for each term within ``WINDOW`` words of an entity; ``docs`` has doc, text, base.
 
     A word is a run of letters, so line ends, blanks and numbers use up nothing of the
     reach; words that the entity overlaps are its own. The window is a hash of
     ``CONTEXT`` words on each side with all that stands between them.
     """
     named = docs.where(F.size("base") > 0).withColumn("row", F.monotonically_increasing_id())
-    named = scratch.keep(named.select("row", "doc_id", "text", "base"), "named")
+    named = scratch.keep(named.select("row", "doc", "text", "base"), "named")
     piece = named.select("row", F.posexplode(_words(F.col("text"))).alias("pos", "piece"))
     so_far = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     piece = piece.withColumn("at", F.coalesce(F.sum(F.char_length("piece").cast("long")).over(so_far), F.lit(0)))
@@ -133,9 +133,9 @@ def nearby_terms(docs: DataFrame, scratch: Scratch) -> DataFrame:
     piece = piece.select("row", "at", F.lit(1).alias("turn"), "pos", (F.col("at") + F.char_length(word)).alias("stop"))
 
     # both sides of each entity among the starts of the words: a side comes before a word that starts at its place
-    side = named.select("row", "doc_id", F.posexplode("base").alias("mention", "s"))
-    side = side.select("row", "doc_id", "mention", F.col("s.value").alias("entity"), F.col("s.kind").alias("kind"), F.explode(F.array(F.struct(F.col("s.start").alias("at"), F.lit(True).alias("left")), F.struct(F.col("s.end").alias("at"), F.lit(False).alias("left")))).alias("x"))
-    side = side.select("row", "doc_id", "mention", "entity", "kind", F.col("x.at").cast("long").alias("at"), "x.left", F.lit(0).alias("turn"))
+    side = named.select("row", "doc", F.posexplode("base").alias("mention", "s"))
+    side = side.select("row", "doc", "mention", F.col("s.value").alias("entity"), F.col("s.kind").alias("kind"), F.explode(F.array(F.struct(F.col("s.start").alias("at"), F.lit(True).alias("left")), F.struct(F.col("s.end").alias("at"), F.lit(False).alias("left")))).alias("x"))
+    side = side.select("row", "doc", "mention", "entity", "kind", F.col("x.at").cast("long").alias("at"), "x.left", F.lit(0).alias("turn"))
     before = Window.partitionBy("row").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, -1)
     placed = piece.unionByName(side, allowMissingColumns=True)
     placed = placed.withColumn("last", F.coalesce(F.max("pos").over(before), F.lit(-1))).withColumn("last_stop", F.max("stop").over(before)).where("turn = 0")
@@ -143,14 +143,14 @@ def nearby_terms(docs: DataFrame, scratch: Scratch) -> DataFrame:
     whole = F.col("last") - F.when(F.col("last_stop") > F.col("at"), 1).otherwise(0)
     reach = F.when(F.col("left"), F.transform(F.sequence(F.lit(0), F.lit(CONTEXT - 1)), lambda d: F.struct((whole - d).alias("pos"), (-1 - d).alias("step"))))
     reach = F.coalesce(reach, F.transform(F.sequence(F.lit(1), F.lit(CONTEXT)), lambda d: F.struct((F.col("last") + d).alias("pos"), d.alias("step"))))
-    reach = placed.select("row", "mention", "doc_id", "entity", "kind", F.explode(reach).alias("x")).select("row", "mention", "doc_id", "entity", "kind", "x.*")
+    reach = placed.select("row", "mention", "doc", "entity", "kind", F.explode(reach).alias("x")).select("row", "mention", "doc", "entity", "kind", "x.*")
 
     text = named.select("row", F.posexplode(_words(F.col("text"))).alias("pos", "piece"))
-    around = reach.join(text, ["row", "pos"]).groupBy("row", "mention", "doc_id", "entity", "kind")
+    around = reach.join(text, ["row", "pos"]).groupBy("row", "mention", "doc", "entity", "kind")
     around = around.agg(F.sort_array(F.collect_list(F.struct("step", "piece"))).alias("around"))
     close = F.filter("around", lambda w: F.abs(w["step"]) <= WINDOW)
     terms = _terms(F.array_join(F.transform(close, lambda w: F.regexp_extract(w["piece"], r"^\p{L}*", 0)), " "))
-    return around.select("entity", "kind", F.explode(terms).alias("term"), "doc_id", F.xxhash64("around").alias("window"))
+    return around.select("entity", "kind", F.explode(terms).alias("term"), "doc", F.xxhash64("around").alias("window"))
 
 
 def _bound(share: Column, mentions: Column) -> Column:
@@ -171,25 +171,28 @@ def revealing_terms(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     ``docs`` has doc_id, text and base, the pattern spans.
     """
+    # one key for all counts: rows of one id are one document, and no id is an id
+    docs = docs.withColumn("doc", F.struct("doc_id")).drop("doc_id")
     near = scratch.keep(nearby_terms(docs, scratch), "near")
     both = _targets(near)
-    pairs = both.groupBy("target", "term").agg(F.count_distinct("window").alias("windows"), F.count_distinct("doc_id").alias("together"))
+    pairs = both.groupBy("target", "term").agg(F.count_distinct("window").alias("windows"), F.count_distinct("doc").alias("together"))
     # a term stands in at least the documents where it is near any entity: what cannot reach the share is out already
-    reach = near.groupBy("term").agg(F.count_distinct("doc_id").alias("near_any"))
+    reach = near.groupBy("term").agg(F.count_distinct("doc").alias("near_any"))
     pairs = pairs.join(reach, "term").where(_bound(F.col("together") / F.col("near_any"), F.col("windows")) >= DISCLOSURE)
     pairs = scratch.keep(pairs.drop("near_any"), "pairs")
     terms = pairs.select("term").distinct()
     bounded = terms.count() <= BROADCAST_TERMS
-    words = docs.select("doc_id", F.explode(_terms(F.col("text"))).alias("term"))
+    words = docs.select("doc", F.explode(_terms(F.col("text"))).alias("term"))
     met = words.join(F.broadcast(terms) if bounded else terms, "term", "left_semi")
-    of_term = met.groupBy("term").agg(F.count("*").alias("of_term"))
-    share = F.least(F.col("together") / F.col("of_term"), F.lit(1.0))
+    of_term = met.groupBy("term").agg(F.count_distinct("doc").alias("of_term"))
+    share = F.col("together") / F.col("of_term")
     strong = pairs.join(of_term, "term").where(_bound(share, F.col("windows")) >= DISCLOSURE)
-    of_target = both.groupBy("target").agg(F.count_distinct("doc_id").alias("of_target"))
+    named = docs.select("doc", F.explode("base").alias("s")).select("doc", F.col("s.value").alias("entity"), F.col("s.kind").alias("kind"))
+    of_target = _targets(named).groupBy("target").agg(F.count_distinct("doc").alias("of_target"))
     # all terms of a kind share its key, so the few kinds are broadcast
     is_kind = F.col("target").isin(*KINDS)
     joined = strong.where(~is_kind).join(of_target.where(~is_kind), "target").unionByName(strong.where(is_kind).join(F.broadcast(of_target.where(is_kind)), "target"))
-    bits = F.log2(F.lit(docs.count()) * F.col("together") / (F.col("of_term") * F.col("of_target")))
+    bits = F.log2(F.lit(docs.select("doc").distinct().count()) * F.col("together") / (F.col("of_term") * F.col("of_target")))
     found = joined.where(bits >= BITS).groupBy("term").agg(F.max(share).alias("disclosure"))
     return scratch.keep(found, "revealing")
 

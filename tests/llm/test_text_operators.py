@@ -218,6 +218,17 @@ def test_words_near_equal_brute_force(spark, monkeypatch):
     assert got == want and len(want) > 200
 
 
+def test_counts_are_over_distinct_documents(spark):
+    rng = random.Random(9)
+    plain = [(i, prose(rng, 30)) for i in range(150)]
+    mention = lambda name, mail: f"{prose(rng, 6)} {name} {prose(rng, 4)} {mail} {prose(rng, 12)}"
+    thrice = [(200 + i, mention("Zebulon", "zeb@x.com")) for i in range(2)]
+    nameless = [(300, mention("Farrell", "far@x.com")), (None, mention("Farrell", "far@x.com"))]
+    found = spelled(spark, (plain + thrice + nameless) * 3)
+    assert len(found) == 3 * 154
+    assert all(marks(found, "Zebulon")) and all(marks(found, "Farrell"))
+
+
 def test_overlapping_spans_mask_once(spark):
     got = pii.mask_pii(docs(spark, ["call +4111 1111 1111 1111 or 10.0.0.1@a.b", None])).orderBy("doc_id").collect()
     assert got[0]["text"].count("[") == 2 and "1111" not in got[0]["text"] and got[1]["text"] is None
