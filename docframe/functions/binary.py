@@ -71,9 +71,14 @@ def msgpack_text(c: Column) -> Column:
     return F.concat(head, c.cast("binary"))
 
 
+def _msgpack_map_head(n: int) -> str:
+    """The smallest head of a map of n members, in hexadecimal digits."""
+    return f"{0x80 | n:02X}" if n < 16 else f"DE{n:04X}" if n < 1 << 16 else f"DF{n:08X}"
+
+
 def msgpack_map(members: dict[str, tuple[Column, Column]]) -> Column:
-    """A MessagePack map of up to 15 members with keys in byte order."""
-    parts = [F.unhex(F.lit(f"{0x80 | len(members):02X}"))]
+    """A MessagePack map with keys in byte order."""
+    parts = [F.unhex(F.lit(_msgpack_map_head(len(members))))]
     for k in sorted(members, key=str.encode):
         null, value = members[k]
         parts += [msgpack_text(F.lit(k)), F.when(null, F.unhex(F.lit("C0"))).otherwise(value)]

@@ -136,3 +136,14 @@ def test_csv_binds_by_header(spark, tmp_path):
     (tmp_path / "t.csv").write_text('note,celsius,station\r\n"",1.5,a\r\n,01,b\r\n')
     got = sources.read_csv(spark, str(tmp_path / "t.csv"), {"station": "string", "celsius": "double", "note": "string"}).orderBy("station").collect()
     assert [(r["station"], r["celsius"]) for r in got] == [("a", 1.5), ("b", None)]
+
+
+@pytest.mark.parametrize("n,head", [(0, "80"), (15, "8F"), (16, "DE0010"), (300, "DE012C")])
+def test_msgpack_maps_of_any_width(spark, n, head):
+    members = {f"k{i:03}": (F.lit(i % 2 == 1), binary.msgpack_int(F.lit(i % 100))) for i in range(n)}
+    want = head + "".join("A4" + f"k{i:03}".encode().hex().upper() + ("C0" if i % 2 else f"{i % 100:02X}") for i in range(n))
+    assert spark.range(1).select(F.hex(binary.msgpack_map(members))).first()[0] == want
+
+
+def test_msgpack_map_heads():
+    assert [binary._msgpack_map_head(n) for n in (15, 16, 65_535, 65_536)] == ["8F", "DE0010", "DEFFFF", "DF00010000"]
