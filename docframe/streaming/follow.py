@@ -3,8 +3,9 @@
 ``spark.readStream.format("follow_lines").option("path", p).load()`` gives line,
 offset and file (its identity). A line counts when its line feed has arrived, so
 the end offset is always behind a line feed. When the path names another file
-than before, the old one is finished first if a rotated copy of it lies beside
-the path; a file that shrank fails, or starts anew with ``onTruncate=restart``.
+than before, the old one and all rotated since are finished first, oldest first,
+from beside the path, also while the path is missing; a needed file that is gone
+fails. A file that shrank fails, or starts anew with ``onTruncate=restart``.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.types import StructType
 
 BLOCK = 1 << 20
+PACKED = ("gz", "bz2", "xz", "zst")
 
 
 class Range(InputPartition):
@@ -40,6 +42,24 @@ def locate(path: str, identity: str) -> str | None:
     return None
 
 
+def siblings(path: str) -> list[tuple[str, str]]:
+    """Place and identity of the rotated files, oldest first, and last of the path itself, empty when it is missing; packed copies do not count."""
+    try:
+        own = identity_of(path)
+    except FileNotFoundError:
+        own = ""
+    found = {}
+    for p in glob.glob(glob.escape(path) + ".*"):
+        try:
+            s = os.stat(p)
+        except FileNotFoundError:
+            continue
+        suffix = p.rsplit(".", 1)[1]
+        if suffix not in PACKED and f"{s.st_dev}:{s.st_ino}" != own:
+            found[f"{s.st_dev}:{s.st_ino}"] = (s.st_mtime_ns, -int(suffix) if suffix.isdecimal() else 0, p)
+    return [*((v[2], i) for i, v in sorted(found.items(), key=lambda x: x[1])), (path, own)]
+
+
 def last_line_end(path: str, start: int) -> int:
     """Offset behind the last line feed at or after ``start``, else ``start``; reads backwards in blocks."""
     end = os.path.getsize(path)
@@ -61,34 +81,43 @@ class FollowReader(DataSourceStreamReader):
         self.latest = options.get("startingPosition", "earliest") == "latest"
 
     def initialOffset(self) -> dict:
-        if not os.path.exists(self.path):
-            return {"identity": "", "offset": 0, "done": []}
-        return {"identity": identity_of(self.path), "offset": last_line_end(self.path, 0) if self.latest else 0, "done": []}
+        now = self.latestOffset()
+        return now if self.latest else now | {"offset": 0}
 
     def latestOffset(self) -> dict:
-        """Identity and end of the file the path names now; a missing path waits."""
-        if not os.path.exists(self.path):
-            return {"identity": "", "offset": 0, "done": []}
-        return {"identity": identity_of(self.path), "offset": last_line_end(self.path, 0), "done": []}
+        """Identity and end of the file the path names now, empty while it is missing; ``done`` has those of the rotated files, oldest first."""
+        seen = siblings(self.path)
+        while (again := siblings(self.path)) != seen:  # a rotation was under way
+            seen = again
+        *done, (here, identity) = seen
+        ends = [[i, last_line_end(locate(self.path, i) or p, 0)] for p, i in done]
+        return {"identity": identity, "offset": last_line_end(locate(self.path, identity) or here, 0) if identity else 0, "done": ends}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        out = []
-        if not end["identity"]:
-            return out
-        same = start["identity"] == end["identity"]
-        if start["identity"] and not same:
-            old = locate(self.path, start["identity"])
-            if old:  # the old file is finished before the new one
-                out.append(Range(old, start["identity"], start["offset"], last_line_end(old, start["offset"])))
-        begin = start["offset"] if same else 0
-        if end["offset"] < begin:
-            if not self.restart:
-                raise ValueError("Truncated: the file is shorter than the position in it")
-            begin = 0
-        here = locate(self.path, end["identity"])
-        if here and end["offset"] > begin:
-            out.append(Range(here, end["identity"], begin, end["offset"]))
-        return [r for r in out if r.end > r.start]
+        known, files = self._files(start), self._files(end)
+        order = [i for i, _ in files]
+        newest = known[-1][0] if known else ""
+        if newest and newest not in order:
+            raise ValueError("Lost: the file that was read last is gone")
+        out, at = [], dict(known)
+        for n, (identity, stop) in enumerate(files):
+            if identity not in at and newest and n < order.index(newest):
+                continue  # older than all that was followed
+            begin = at.get(identity, 0)
+            if stop < begin:
+                if not self.restart:
+                    raise ValueError("Truncated: the file is shorter than the position in it")
+                begin = 0
+            if stop > begin:
+                here = locate(self.path, identity)
+                if not here:
+                    raise ValueError("Lost: a file with unread lines is gone")
+                out.append(Range(here, identity, begin, stop))
+        return out
+
+    @staticmethod
+    def _files(offset: dict) -> list:
+        return [*map(tuple, offset["done"]), *([(offset["identity"], offset["offset"])] if offset["identity"] else [])]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
