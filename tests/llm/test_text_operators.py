@@ -213,8 +213,8 @@ def test_words_near_equal_brute_force(spark, monkeypatch):
         for a, _, b, kind in brute.pii_spans(t):
             near = [r[2] for r in runs if r[1] <= a][-3:] + [r[2] for r in runs if r[0] >= b][:3]
             want |= {(t[a:b], w, i) for w in near if 3 <= len(w) <= 40}
-    keyed = docs(spark, texts).select("doc_id", "text", pii.base_spans(F.col("text")).alias("base"))
-    got = {(r["entity"], r["term"], r["doc_id"]) for r in pii.nearby_terms(keyed, Scratch(spark, "near")).collect()}
+    keyed = docs(spark, texts).select(F.col("doc_id").alias("doc"), "text", pii.base_spans(F.col("text")).alias("base"))
+    got = {(r["entity"], r["term"], r["doc"]) for r in pii.nearby_terms(keyed, Scratch(spark, "near")).collect()}
     assert got == want and len(want) > 200
 
 
