@@ -101,6 +101,38 @@ def test_islands_find_what_best_fit_misses():
     assert sorted(sum(bins, [])) == sorted(lengths) and all(sum(b) <= 10 for b in bins) and len(bins) == 9
 
 
+INSTANCES = [(lambda r: np.clip(r.lognormal(6, 0.6, 300).astype(int), 1, 1023), s) for s in range(2)]
+INSTANCES += [(lambda r: r.integers(200, 501, 300), s) for s in range(3)] + [(lambda r: r.integers(300, 421, 300), s) for s in range(3)]
+INSTANCES += [(lambda r: r.integers(260, 701, 300), s) for s in range(2)]
+
+
+def test_evolution_beats_its_greedy_start():
+    fewer = 0
+    for make, seed in INSTANCES:
+        lengths = make(np.random.default_rng(seed))
+        greedy = len(packing.best_fit(np.bincount(lengths, minlength=1025).tolist(), 1024))
+        bins = packing.evolve(lengths, 1024, seed)
+        assert sorted(sum(bins, [])) == sorted(lengths) and max(map(sum, bins)) <= 1024
+        assert len(bins) <= greedy
+        fewer += len(bins) < greedy
+    assert fewer >= 7
+
+
+def test_what_arrives_on_an_island_is_never_lost():
+    rng = np.random.default_rng(3)
+    bins = [tuple(map(int, np.diff(np.r_[0, np.sort(rng.choice(np.arange(1, 1024), 3, replace=False)), 1024]))) for _ in range(150)]
+    lengths = np.array([x for b in bins for x in b])
+    assert len(packing.evolve(lengths, 1024, 1, bins)) == 150
+
+
+def test_crossover_keeps_partly_filled_bins_and_every_length():
+    rng = np.random.default_rng(4)
+    a, b = [(5, 4), (3, 3), (2,)], [(5, 3, 2), (4, 3)]
+    for _ in range(20):
+        child = packing.crossover(a, b, [0, 0, 1, 2, 1, 1, 0, 0, 0, 0, 0], 10, rng)
+        assert sorted(x for c in child for x in c) == [2, 3, 3, 4, 5] and max(map(sum, child)) <= 10 and len(child) == 2
+
+
 def test_digest_names_the_vocabulary():
     with open(BYTE, "rb") as f:
         assert token_counts.tokenizer_version(BYTE) == hashlib.sha256(f.read()).hexdigest()[:32]
