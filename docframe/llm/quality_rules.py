@@ -2,12 +2,14 @@
 
 Each rule rejects a text on one measure. A sample of the input gives every
 rule's cost (seconds) and selectivity (share rejected); rules run in the order of
-rejection per cost, and a text leaves at the first rule that rejects it. The
-order changes the time only, never the verdict.
+rejection per cost, and a text leaves at the first rule that rejects it, so what
+only later rules measure is never computed for it. The order changes the time
+only, never the verdict.
 
 Words are runs of characters other than ASCII white space. Defined results: null
 reads as empty, which has no words and is rejected as too short; repeated rows
-are judged alike; an empty table gives an empty table.
+are judged alike; an empty table gives an empty table; a column of the input that
+has the name of a new one gives way to it, others are kept.
 """
 
 from __future__ import annotations
@@ -19,12 +21,16 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm.common import text_of
 
 BLANKS, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
+#: ASCII bytes that are neither letters nor blanks.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalpha())
+BULLETS, ELLIPSES = ("-", "*", "•", "‣", "·"), ("...", "…")
 #: Rows of the sample that orders the rules, at most.
 SAMPLE_ROWS = 256
 
@@ -81,6 +87,22 @@ class Measures:
     def n_upper_words(self) -> int:
         return sum(w.isupper() for w in self.text.split())
 
+    @cached_property
+    def n_marks(self) -> int:
+        return len(self.raw) - len(self.raw.translate(None, MARKS))
+
+    @cached_property
+    def stripped_lines(self) -> list[str]:
+        return [x for x in map(str.strip, self.text.split("\n")) if x]
+
+    @cached_property
+    def n_bullet_lines(self) -> int:
+        return sum(x.startswith(BULLETS) for x in self.stripped_lines)
+
+    @cached_property
+    def n_cut_lines(self) -> int:
+        return sum(x.endswith(ELLIPSES) for x in self.stripped_lines)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -95,6 +117,9 @@ RULES = (
     Rule("mean_word_length", lambda m: not 3 * m.n_words <= m.word_chars <= 10 * m.n_words),
     Rule("repeated_lines", lambda m: 2 * m.n_dup_lines > len(m.lines)),
     Rule("shouting", lambda m: 2 * m.n_upper_words > m.n_words),
+    Rule("few_letters", lambda m: 2 * m.n_marks > m.word_chars),
+    Rule("bullet_list", lambda m: 10 * m.n_bullet_lines > 9 * len(m.stripped_lines)),
+    Rule("cut_lines", lambda m: 10 * m.n_cut_lines > 3 * len(m.stripped_lines) and m.n_cut_lines > 1),
 )
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -127,27 +152,39 @@ def cascade_order(profile: list, rules: tuple[Rule, ...] = RULES) -> tuple[Rule,
     return tuple(sorted(rules, key=lambda r: (-gain.get(r.name, 0.0), r.name)))
 
 
+def cascade(m: Measures, order: tuple[Rule, ...]) -> tuple[int, str | None]:
+    """Number of rules that ran, and the name of the one that rejected the text, if any; no rule runs behind it."""
+    for i, r in enumerate(order):
+        if r.rejects(m):
+            return i + 1, r.name
+    return len(order), None
+
+
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text", measures: bool = False) -> DataFrame:
-    """``docs`` with ``kept``; with ``measures`` also all counts, which then are computed for every row.
+    """``docs`` with ``kept``; with ``measures`` also the counts of ``MEASURES``, ``rules_run`` and ``rejected_by``.
 
-    A column of ``docs`` that has one of these names gives way to the new one.
+    These counts are then computed for every row, further ones only as far as the cascade asks for them.
     """
     order = cascade_order(rule_profile(docs, rules, id_column, text_column).collect(), rules)
-    added = [*(MEASURES if measures else ()), "kept"]
+    added = {m: "long" for m in MEASURES} | {"rules_run": "int", "rejected_by": "string"} if measures else {}
+    added |= {"kept": "boolean"}
     others = [c for c in docs.columns if c not in added]
-    held = docs.select(*others, text_of(text_column).alias("__text"))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + [f"{m} long" for m in added[:-1]] + ["kept boolean"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [Measures(t) for t in f.pop("__text")]
-            kept = []
-            counts: dict[str, list[int]] = {m: [] for m in added[:-1]}
-            for m in found:
-                kept.append(not any(r.rejects(m) for r in order))
-                for name, values in counts.items():
-                    values.append(getattr(m, name))
-                m.__dict__.clear()
-            yield f.assign(**counts, kept=kept)
-
-    return held.mapInPandas(run, schema)
+    hidden = "__text" + "_" * max(map(len, docs.columns))
+    held = docs.select(*others, text_of(text_column).alias(hidden))
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + [f"{n} {t}" for n, t in added.items()])
+
+    arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made: dict[str, list] = {n: [] for n in added}
+            for text in b.column(hidden):
+                m = Measures(text.as_py())
+                ran, by = cascade(m, order)
+                found = {"rules_run": ran, "rejected_by": by, "kept": by is None}
+                for n, values in made.items():
+                    values.append(found[n] if n in found else getattr(m, n))
+            columns = [b.column(c) for c in others] + [pa.array(v, arrow[added[n]]) for n, v in made.items()]
+            yield pa.RecordBatch.from_arrays(columns, [*others, *added])
+
+    return held.mapInArrow(run, schema)

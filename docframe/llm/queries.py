@@ -88,7 +88,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     judged = quality_rules.quality_rules(docs, measures=True)
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return judged.select("doc_id", *quality_rules.MEASURES, base_failed.alias("base_failed"), (F.col("kept") & ~base_failed).alias("kept"))
+    return judged.select("doc_id", *quality_rules.MEASURES, base_failed.alias("base_failed"), (F.col("kept") & ~base_failed).alias("kept"), "rules_run", "rejected_by")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,6 +250,34 @@ def test_measures_and_verdict(spark):
     assert quality_rules.quality_rules(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_a_rejected_text_runs_no_further_rule(spark):
+    seen = []
+
+    class Watched(quality_rules.Measures):
+        def __getattribute__(self, name):
+            if name.startswith("n_") or name == "word_chars":
+                seen.append(name)
+            return super().__getattribute__(name)
+
+    order = [r for n in ("shouting", "too_few_words", "few_letters") for r in quality_rules.RULES if r.name == n]
+    assert quality_rules.cascade(Watched("LOUD WORDS"), tuple(order)) == (1, "shouting")
+    assert set(seen) == {"n_upper_words", "n_words"} and "n_marks" not in seen
+    assert quality_rules.cascade(Watched("soft " * 60), tuple(order)) == (3, None)
+    good = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnop'[i % 6]}{'qrst'[i % 4]}" for i in range(80))
+    texts = [good, "too short", "1.5 2,3 " * 40, "\n".join(f"- item {w}" for w in good.split()), "\n".join(f"{w} and so on..." for w in good.split()), None]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs(spark, texts), measures=True).collect()}
+    n = len(quality_rules.RULES)
+    assert (got[0]["kept"], got[0]["rules_run"], got[0]["rejected_by"]) == (True, n, None)
+    for i in range(1, len(texts)):
+        by = [r.name for r in quality_rules.RULES if r.rejects(quality_rules.Measures(texts[i] or ""))]
+        assert not got[i]["kept"] and got[i]["rejected_by"] in by and got[i]["rules_run"] <= n - len(by) + 1, i
+
+
+def test_big_and_null_ids_pass_through_the_rules(spark):
+    got = quality_rules.quality_rules(frame(spark, [(2**60 + 1, "x", "k", 1, 2), (None, "x", "k", None, 2)]), measures=True).collect()
+    assert {(r["doc_id"], r["spans"], r["kept"]) for r in got} == {(2**60 + 1, 1, False), (None, None, False)}
+
+
 def test_rules_run_by_rejection_per_cost():
     profile = [{"rule": "shouting", "cost": 1.0, "selectivity": 0.9}, {"rule": "too_few_words", "cost": 0.1, "selectivity": 0.2}]
     assert [r.name for r in quality_rules.cascade_order(profile)][:2] == ["too_few_words", "shouting"]
