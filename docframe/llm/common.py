@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,28 +9,35 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it; only where that is unset (tests) is a
-    local folder used.
-    """
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``; an error where that is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return f"file://{tempfile.gettempdir()}/docframe-scratch"
+    if not named:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder or file of any store that Spark reaches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 class Scratch:
     """Written tables that cut lineage: rereading one never recomputes its past.
 
     Tables lie under the shared folder, so any executor can read them after
-    another is lost. ``drop`` removes one that later steps no longer need.
+    another is lost. ``drop`` removes one that later steps no longer need;
+    ``made`` holds every folder of this session that was not removed whole, so that
+    a caller who has written a result can remove what it was read from.
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.tables: set[str] = set()
+        Scratch.made.append(self)
 
     def keep(self, df: DataFrame, table: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{table}")
@@ -40,14 +46,21 @@ class Scratch:
 
     def drop(self, table: str) -> None:
         self.tables.discard(table)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, f"{self.root}/{table}")
 
     def drop_all_but(self, *tables: str) -> None:
         """Removes what only earlier steps needed."""
         for table in self.tables - set(tables):
             self.drop(table)
 
+    @classmethod
+    def remove_since(cls, mark: int, but: Scratch) -> None:
+        """Removes the folders made after the first ``mark`` ones, but one."""
+        for old in cls.made[mark:]:
+            if old is not but:
+                remove(old.spark, old.root)
+        cls.made[mark:] = [but] if but in cls.made[mark:] else []
+
 
 def text_of(column: str = "text") -> Column:
     """The text, null read as empty."""
@@ -79,6 +92,21 @@ def numbered(df: DataFrame, column: str, scratch: Scratch, table: str) -> DataFr
     return joined.withColumn(column, F.col("__start") + F.col("__m") - F.shiftleft("__part", 33)).drop("__m", "__part", "__start")
 
 
+#: A key is hot when it holds more than one in so many rows; there are fewer hot keys than this.
+HOT_SHARE = 2000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, sizes: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table``, which has each ``key`` once; ``sizes`` (key, count) tells how many rows have it.
+
+    Keys with more than one in ``HOT_SHARE`` rows, fewer than ``HOT_SHARE`` of them
+    whatever the input, are broadcast with their values; the others are shuffled.
+    """
+    hot = table.join(sizes.where(F.col("count") * HOT_SHARE > total).select(key), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def components(edges: DataFrame, scratch: Scratch, table: str) -> DataFrame:
     """node and root (the least node) of every node on an edge a-b, by alternating large and small stars.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.llm import bpe_codec, chat_format, line_dedup, media, ngram_jaccard, packing, pii, quality_fm, quality_rules, token_counts
-from docframe.llm.common import documents
+from docframe.llm.common import Scratch, documents
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,7 +36,9 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    # a cache of its own, so that every call does the whole work: the second pass hits what the first one stored
+    cache = f"{Scratch(spark, 'token-cache').root}/cache"
+    counts = token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), cache)
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 

@@ -1,14 +1,16 @@
 """Token counts with a digest cache.
 
-Each normalised text and tokenizer version has a digest. Texts whose digest has
-a stored count are not encoded; of the rest each distinct text is encoded once,
-and the new counts are appended to the cache, a Parquet table in a folder that
-the caller names (or a scratch table for one run).
+Each normalised text and tokenizer version has a digest. The cache, a Parquet
+table in a folder that the caller names, stores counts by version and digest.
+Documents are counted in passes: a pass looks its digests up in the cache, encodes
+each distinct text that misses once, and appends the new counts, which later
+passes and later calls find. Rows then take their counts from the cache.
 
 Normalisation reads null as the empty text and changes nothing else, since any
 other change could change the count. Defined results: an empty text has no
-tokens; repeated rows and repeated ids give a row each; an empty table gives an
-empty table; further columns of the input are ignored.
+tokens; repeated rows and repeated ids give a row each and are encoded once; an
+empty table gives an empty table; further columns of the input are ignored. A
+digest that was stored twice (by calls at the same time) counts once.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm import tokens
-from docframe.llm.common import Scratch, text_of
+from docframe.llm.common import Scratch, join_counted, text_of
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
@@ -44,29 +46,47 @@ def count_texts(texts: DataFrame, path: str) -> DataFrame:
     return texts.select("digest", "text").mapInPandas(batches, "digest binary, n_tokens long")
 
 
-def token_counts(docs: DataFrame, path: str, cache: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_bytes and n_tokens of every row of ``docs``; ``cache`` is a folder for stored counts."""
-    spark = docs.sparkSession
-    version = tokenizer_version(path)
-    keyed = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    # One holder of each digest is chosen from ids alone, so only texts to encode are shuffled.
-    holders = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    stored = None
-    if cache and _exists(spark, cache):
-        stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version)
+def stored_counts(spark, cache: str, version: str) -> DataFrame | None:
+    """digest and n_tokens of the version's stored counts; None while there is no cache."""
+    if not _exists(spark, cache):
+        return None
+    held = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version)
+    return held.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+
+def count_misses(keyed: DataFrame, path: str, cache: str, version: str) -> None:
+    """Encodes the distinct texts of ``keyed`` (h, digest, text) that have no stored count, and appends their counts."""
+    spark = keyed.sparkSession
+    # One holder of each digest is chosen from hashes alone, so copies of a text never meet in one task.
+    holders = keyed.groupBy("digest").agg(F.min("h").alias("h"))
+    stored = stored_counts(spark, cache, version)
+    if stored is not None:
         holders = holders.join(stored.select("digest"), "digest", "left_anti")
-    h = holders.select(F.col("digest").alias("h_digest"), F.col("doc_id").alias("h_id")).hint("shuffle_hash")
-    misses = keyed.join(h, keyed["doc_id"].eqNullSafe(h["h_id"]) & (keyed["digest"] == h["h_digest"]), "left_semi")
+    # rows that repeat a document are dropped before the shuffle and in it
+    texts = keyed.groupBy("h", "digest").agg(F.first("text").alias("text"))
+    misses = texts.join(holders.hint("shuffle_hash"), ["h", "digest"], "left_semi")
     fresh = count_texts(misses, path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    fresh = fresh.select(F.lit(version).alias("version"), "digest", "n_tokens")
-    if cache:
-        fresh.write.mode("append").parquet(cache)
-        known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version)
-        known = known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    else:
-        known = Scratch(spark, "token-counts").keep(fresh, "cache").select("digest", "n_tokens")
-    rows = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens")
+    fresh.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
+
+
+def token_counts(docs: DataFrame, path: str, cache: str, passes: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, n_bytes and n_tokens of every row of ``docs``; ``cache`` is the folder of stored counts."""
+    spark = docs.sparkSession
+    version = tokenizer_version(path)
+    keyed = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(id_column).alias("h"), text_of(text_column).alias("text"))
+    for k in range(passes):
+        mine = keyed.where(F.pmod("h", F.lit(passes)) == k)
+        count_misses(mine.withColumn("digest", digest_of(F.col("text"))), path, cache, version)
+    rows = keyed.select("doc_id", digest_of(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
+    rows = Scratch(spark, "token-counts").keep(rows, "rows")
+    sizes = rows.groupBy("digest").count()
+    known = stored_counts(spark, cache, version)
+    joined = join_counted(rows, known, sizes, "digest", rows.count())
+    return joined.select("doc_id", "n_bytes", "n_tokens")
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
 
 def _exists(spark, path: str) -> bool:

@@ -70,7 +70,26 @@ def test_counts_and_their_cache(spark, tmp_path, path):
     more = frame(spark, ["new", "three"])
     token_counts.token_counts(more, path, cache).collect()
     assert spark.read.parquet(cache).count() == 5
-    assert token_counts.token_counts(docs.limit(0), path).count() == 0
+    assert token_counts.token_counts(docs.limit(0), path, f"file://{tmp_path}/none").count() == 0
+
+
+def test_hits_are_not_encoded_and_misses_once(spark, tmp_path, monkeypatch):
+    encoded = []
+
+    def counted(texts, path):
+        encoded.append(sorted(r["text"] for r in texts.select("text").collect()))
+        return count(texts, path)
+
+    count = token_counts.count_texts
+    monkeypatch.setattr(token_counts, "count_texts", counted)
+    copies = [(i, "same text") for i in range(40)] + [(7, "twice")] * 5 + [(None, "nameless")] * 3 + [(8, None)]
+    docs = spark.createDataFrame(copies, "doc_id long, text string")
+    cache = f"file://{tmp_path}/cache"
+    got = token_counts.token_counts(docs, BYTE, cache).collect()
+    assert len(got) == 49 and len(encoded) == 2
+    assert sorted(sum(encoded, [])) == ["", "nameless", "same text", "twice"]  # the second pass finds what the first stored
+    token_counts.token_counts(docs, BYTE, cache).collect()
+    assert encoded[2:] == [[], []]
 
 
 def test_packing_is_whole_gapless_and_tight(spark):
