@@ -24,8 +24,8 @@ import pyarrow.compute as pc
 
 #: Characters of text encoded together; memory in a task follows this, not the batch.
 RUN_CHARS = 6_000_000
-#: Pieces longer than this are encoded apart.
-LONG_PIECE = 1024
+#: Pieces of more characters than this are encoded apart.
+LONG_PIECE = 32
 #: Stands for the mark at the end of a word; pieces that hold it go to the library.
 WORD_END = b"\x00"
 
@@ -165,9 +165,10 @@ def _words_of(path: str, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def encode_run(path: str, texts: list[str], long_piece=None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and the bounds (one more than texts) of each.
 
-    ``long_piece`` encodes a long unsplit word-level piece; by default the library does.
+    ``long_piece`` encodes a long unsplit piece and whatever cannot be cut at spaces; by default the library does.
     """
     kind = family(path)
+    other = long_piece or (lambda t: encode_whole(path, t))
     if not kind or not texts:
         each = [encode_whole(path, t) for t in texts]
         return np.concatenate(each or [np.empty(0, "<u4")]), np.cumsum([0] + [len(x) for x in each])
@@ -199,10 +200,8 @@ def encode_run(path: str, texts: list[str], long_piece=None) -> tuple[np.ndarray
             continue
         if not p or p[0].isspace() or p[-1].isspace():
             uncut[code] = True
-        elif long_piece and len(p) > LONG_PIECE:
-            put(code, long_piece(p))
         else:
-            put(code, encode_whole(path, p if kind == "word" else " " + p))
+            put(code, other(p if kind == "word" else " " + p))
     if kind == "byte":  # the first piece of a text has no space before it
         first = codes[bounds[:-1]]
         codes[bounds[:-1]] = len(pieces) + np.arange(len(texts))
@@ -212,7 +211,7 @@ def encode_run(path: str, texts: list[str], long_piece=None) -> tuple[np.ndarray
         rough = odd.to_numpy(zero_copy_only=False)
         for i, code in enumerate(first):
             p = pieces[int(code)].as_py()
-            put(len(pieces) + i, encode_whole(path, p) if rough[code] else own[core.encode_ordinary(p)])
+            put(len(pieces) + i, other(p) if rough[code] else own[core.encode_ordinary(p)])
     ids = np.concatenate(more)
     whole = np.logical_or.reduceat(uncut[codes], bounds[:-1])
     n = sizes[codes]
@@ -221,7 +220,7 @@ def encode_run(path: str, texts: list[str], long_piece=None) -> tuple[np.ndarray
     out, cut = ids[index], np.r_[0, stop][bounds]
     if not whole.any():
         return out, cut
-    each = [encode_whole(path, t) if w else out[cut[i] : cut[i + 1]] for i, (t, w) in enumerate(zip(texts, whole, strict=True))]
+    each = [other(t) if w else out[cut[i] : cut[i + 1]] for i, (t, w) in enumerate(zip(texts, whole, strict=True))]
     return np.concatenate(each), np.cumsum([0] + [len(x) for x in each])
 
 

@@ -36,6 +36,7 @@ def test_tree_concatenation_equals_encoding_at_once():
         for _ in range(60):
             word = bytes(rng.choice(b"aeinrst") for _ in range(rng.randrange(1, 700))) + tokens.WORD_END
             assert tree(word) == core._encode_single_piece(word)
+        assert tree.joins > 60
         assert tree(b"a" * 5000 + tokens.WORD_END) == core._encode_single_piece(b"a" * 5000 + tokens.WORD_END)
 
 
@@ -43,11 +44,40 @@ def frame(spark, texts):
     return spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, length long")
 
 
-def test_round_trip_of_long_unsplit_text(spark):
+def unsplit(rng, letters, n):
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+LETTERS = ("etaoinshrdlu", "ÄÖÜabcß", "日本語中文字東京都", "абвгдежзийклмнопрстуфхцчшщ", "🙂🚀👍🏽", "αβγδεσςΣ", "é́ñ̃aIİ", "@#$%&*-_=+", "คำไทยภาษา")
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_long_unsplit_text_of_any_script_goes_through_the_tree(path):
+    rng = random.Random(11)
+    encode = bpe_codec.LongPieces(path)
+    lib = tokens.tokenizer(path)
+    for letters in LETTERS:
+        for n in (33, 200, 3000):
+            before, text = encode.tree.joins, unsplit(rng, letters, n)
+            assert encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids, (letters, n)
+            assert n < 200 or encode.tree.joins > before or letters[0] in "é@", letters
+    marked = f"{unsplit(rng, 'abc', 90)}<|endoftext|>{unsplit(rng, 'abc', 90)}<|endoftext|"
+    assert encode(marked).tolist() == lib.encode(marked, add_special_tokens=False).ids
+    texts = [unsplit(rng, rng.choice(LETTERS), rng.randrange(400)) + rng.choice(["", " ", "  ", "\n"]) + unsplit(rng, rng.choice(LETTERS), 90) for _ in range(150)]
+    ids, cut = tokens.encode_run(path, texts, encode)
+    for i, t in enumerate(texts):
+        assert ids[cut[i] : cut[i + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_round_trip_of_long_unsplit_text(spark, path):
     rng = random.Random(7)
-    texts = [None, *ODD, "".join(rng.choice("etaoinshrdlu") for _ in range(20_000)), "ÄÖÜ" * 4000]
-    got = {r["doc_id"]: r for r in bpe_codec.bpe_round_trip(frame(spark, texts), WORD).collect()}
-    lib = tokens.tokenizer(WORD)
+    texts = [None, *ODD, unsplit(rng, "etaoinshrdlu", 20_000), "ÄÖÜ" * 4000, unsplit(rng, "日本語中文字", 20_000)]
+    docs = frame(spark, texts).unionAll(frame(spark, texts).limit(2))  # repeated rows
+    rows = bpe_codec.bpe_round_trip(docs, path).collect()
+    assert len(rows) == len(texts) + 2 and bpe_codec.bpe_round_trip(docs.limit(0), path).count() == 0
+    got = {r["doc_id"]: r for r in rows}
+    lib = tokens.tokenizer(path)
     for i, t in enumerate(texts):
         want = lib.encode(t or "", add_special_tokens=False).ids
         assert got[i]["ids"] == want and got[i]["decoded"] == lib.decode(want, skip_special_tokens=False)
