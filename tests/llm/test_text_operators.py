@@ -293,10 +293,30 @@ def test_classifier_on_held_out_rows(spark):
     held = [(scores[i], q) for i, _, q in rows if i >= 400]
     assert sum((s >= 0.3) == q for s, q in held) / len(held) > 0.97
     assert quality_fm.quality_scores(df.limit(0), model).count() == 0
+    odd = spark.createDataFrame([(None, rows[1][1], 7), (2**60 + 1, rows[1][1], 7), (3, rows[1][1], None), (3, "", -4)], "doc_id long, text string, n_chars long")
+    got = quality_fm.quality_scores(odd, model).collect()
+    assert {r["doc_id"] for r in got} == {None, 2**60 + 1, 3} and len(got) == 4 and all(0 <= r["score"] <= 1 for r in got)
     none = quality_fm.train(df, df.limit(0))
     assert {r["score"] for r in quality_fm.quality_scores(df.limit(5), none).collect()} == {0.5}
 
 
+def test_factorisation_learns_what_no_single_feature_tells():
+    """Exclusive or of two words: only their interaction separates the classes."""
+    import numpy as np
+
+    rows, y = [], []
+    rng = np.random.default_rng(1)
+    for _ in range(800):
+        a, b = rng.integers(0, 2, 2)
+        rows.append((np.array([10 + a, 20 + b]), np.array([0.7, 0.7])))
+        y.append(int(a != b))
+    model = quality_fm.fit(rows, y)
+    scores = quality_fm.score_rows(model, rows)
+    assert ((scores > 0.5) == np.array(y, bool)).mean() > 0.95
+    flat = model | {"v": np.zeros_like(model["v"])}
+    assert ((quality_fm.score_rows(flat, rows) > 0.5) == np.array(y, bool)).mean() < 0.8
+
+
 def test_sum_of_squares_identity():
     import numpy as np
 
