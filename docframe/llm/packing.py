@@ -43,8 +43,8 @@ ISLAND = 4096
 #: Of full bins one in so many migrates.
 ELITE = 50
 POPULATION, GENERATIONS = 8, 300
-#: Generations without a gain after which an island ends.
-PATIENCE = 50
+#: Generations without a gain after which an island ends, in the last round and in those before it, whose open bins go on anyway.
+PATIENCE, PATIENCE_BEFORE = 24, 8
 #: Shares of the bins, worst and random ones alike, that a mutation may break up.
 BROKEN = (0.02, 0.06, 0.2)
 ROUNDS = 3
@@ -189,7 +189,7 @@ def fitness(bins: Bins) -> tuple[int, int]:
     return len(bins), -sum(sum(b) ** 2 for b in bins)
 
 
-def evolve(lengths: np.ndarray, capacity: int, seed: int, arrived: Bins | None = None) -> list[list[int]]:
+def evolve(lengths: np.ndarray, capacity: int, seed: int, arrived: Bins | None = None, patience: int = PATIENCE) -> list[list[int]]:
     """Bins of lengths for one island; ``arrived`` is a solution that migrated here."""
     rng = np.random.default_rng(seed)
     counts = np.bincount(lengths, minlength=capacity + 1).tolist()
@@ -198,7 +198,7 @@ def evolve(lengths: np.ndarray, capacity: int, seed: int, arrived: Bins | None =
     people = sorted(((fitness(p), p) for p in people), key=lambda x: x[0])
     still = 0
     for _ in range(GENERATIONS):
-        if people[0][0][0] <= bound or still >= PATIENCE:
+        if people[0][0][0] <= bound or still >= patience:
             break
         if len(people) < POPULATION:
             child = mutate(people[0][1], capacity, rng)
@@ -214,12 +214,12 @@ def evolve(lengths: np.ndarray, capacity: int, seed: int, arrived: Bins | None =
     return [list(b) for b in people[0][1]]
 
 
-def place(frame: pd.DataFrame, capacity: int, seed: int) -> pd.DataFrame:
+def place(frame: pd.DataFrame, capacity: int, seed: int, patience: int) -> pd.DataFrame:
     """Adds bin (number on the island), offset and fill to the island's rows (row, length, home)."""
     order = frame.sort_values(["length", "row"], kind="stable").reset_index(drop=True)
     lengths = order["length"].to_numpy()
     arrived = [tuple(x) for x in order.groupby("home")["length"].agg(list)]  # none in the first round: no row has a home
-    bins = evolve(lengths, capacity, seed, arrived)
+    bins = evolve(lengths, capacity, seed, arrived, patience)
     first = np.searchsorted(lengths, np.arange(capacity + 2))
     used = np.zeros(capacity + 2, np.int64)
     where, offset, fill = (np.empty(len(order), np.int64) for _ in range(3))
@@ -233,9 +233,9 @@ def place(frame: pd.DataFrame, capacity: int, seed: int) -> pd.DataFrame:
     return order[["row", "length", "island"]].assign(bin=where, offset=offset, fill=fill)
 
 
-def _on_island(capacity: int, salt: int):
+def _on_island(capacity: int, salt: int, patience: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return place(frame, capacity, 7919 * salt + int(frame["island"].iloc[0]))
+        return place(frame, capacity, 7919 * salt + int(frame["island"].iloc[0]), patience)
 
     return run
 
@@ -261,10 +261,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, island: int = ISLAN
         dealt = todo.withColumn("island", F.pmod(F.xxhash64(F.coalesce("home", "row"), F.lit(r)), F.lit(islands)))
         # the rows are few bytes and the work is long, so partitions follow the islands, not the bytes
         dealt = dealt.repartition(min(islands, tasks), "island").groupBy("island")
-        done = dealt.applyInPandas(_on_island(capacity, r), "row long, length long, island long, bin long, offset long, fill long")
+        last = r == rounds or islands == 1
+        evolved = _on_island(capacity, r, PATIENCE if last else PATIENCE_BEFORE)
+        done = dealt.applyInPandas(evolved, "row long, length long, island long, bin long, offset long, fill long")
         number = F.shiftleft(F.col("bin") * (rounds + 1) + r, 36) + F.col("island")
         done = scratch.keep(done.withColumn("sequence_id", number), f"round{r}")
-        kept = F.lit(True) if r == rounds or islands == 1 else (F.col("fill") >= capacity) & (F.col("bin") % ELITE != 0)
+        kept = F.lit(True) if last else (F.col("fill") >= capacity) & (F.col("bin") % ELITE != 0)
         placed.append(done.where(kept).select("row", "sequence_id", "offset"))
         todo = done.where(~kept).select("row", "length", F.col("sequence_id").alias("home"))
     if not placed:
