@@ -18,18 +18,25 @@ The patterns are written so that no text makes them slow: a match may start only
 at the head of a run of its first class, or where the last match ended, and
 repetitions never give back what they took.
 
+Places are running sums over what a pattern splits off, in pieces of bounded size,
+so a text of very many matches costs about as much for each as one of few.
+
 Defined results: null reads as empty and has no spans; spans are code points,
 end exclusive; repeated rows are marked alike and count once in corpus counts by
-id; a null id is an id; an empty table gives an empty table; clashing columns
-(``spans``, ``masked``) give way to the new ones.
+id; a null id is an id; an empty table gives an empty table; a column called
+``spans`` gives way to the new one, all other columns are kept. Terms may have any
+length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docframe.llm.common import Scratch, text_of
+from docframe.llm.common import Scratch, free_name, running, text_of
+from docframe.operators.records import let
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Kinds in their order, each with its pattern and a test for texts that may hold it.
@@ -82,23 +89,27 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _placed(gaps: Column, sizes: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """Array of ``use(start, i)`` of each match, from the gap before it and its size."""
+    steps = F.transform(sizes, lambda n, i: (F.get(gaps, i) + n).cast("bigint"))
+    return let(running(steps), lambda at: F.transform(at, lambda x, i: let((x + F.get(gaps, i)).cast("int"), lambda start: use(start, i))))
+
+
 def _spans_of(kind: str, text: Column) -> Column:
     """Valid spans of one kind: what the pattern splits off and what lies between adds up to the places."""
     number = KINDS.index(kind)
     pattern = PATTERNS[kind]
-    between = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
+    pieces = F.struct(gaps.alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"))
+
+    def spans(p: Column) -> Column:
+        def span(start: Column, i: Column) -> Column:
+            value = F.get(p["values"], i)
+            return F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + F.char_length(value)).alias("end"), value.alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.char_length(x["gap"])
-        end = begin + F.char_length(x["value"])
-        span = F.struct(begin.alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(_valid(kind, x["value"]), F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+        return F.filter(_placed(p["gaps"], F.transform(p["values"], lambda v: F.char_length(v)), span), lambda s: _valid(kind, s["value"]))
 
-    pairs = F.transform(matches, lambda v, i: F.struct(F.get(between, i).alias("gap"), v.alias("value")))
-    found = F.aggregate(pairs, start, step, lambda a: a["found"])
-    return F.when(F.regexp_like(text, F.lit(HINTS[kind])), found).otherwise(F.array().cast(SPAN))
+    return F.when(F.regexp_like(text, F.lit(HINTS[kind])), let(pieces, spans)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -109,7 +120,7 @@ def base_spans(text: Column) -> Column:
 
 def _terms(text: Column) -> Column:
     """The terms of a text: its runs of letters in lower case, each once, in the order of their first place."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda t: F.char_length(t).between(3, 40))
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda t: t != "")
 
 
 def _words(text: Column) -> Column:
@@ -117,15 +128,19 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\p{L}++\P{L}*+|\P{L}++"), F.lit(0))
 
 
-def nearby_terms(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """entity, kind, term, doc and window for each term within ``WINDOW`` words of an entity; ``docs`` has doc, text, base.
+def named_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """row (a number), doc, text and base of the documents that name an entity; ``docs`` has doc, text, base."""
+    named = docs.where(F.size("base") > 0).withColumn("row", F.monotonically_increasing_id())
+    return scratch.keep(named.select("row", "doc", "text", "base"), "named")
+
+
+def nearby_terms(named: DataFrame) -> DataFrame:
+    """entity, kind, term, doc and window for each term within ``WINDOW`` words of an entity of the ``named_rows``.
 
     A word is a run of letters, so line ends, blanks and numbers use up nothing of the
     reach; words that the entity overlaps are its own. The window is a hash of
     ``CONTEXT`` words on each side with all that stands between them.
     """
-    named = docs.where(F.size("base") > 0).withColumn("row", F.monotonically_increasing_id())
-    named = scratch.keep(named.select("row", "doc", "text", "base"), "named")
     piece = named.select("row", F.posexplode(_words(F.col("text"))).alias("pos", "piece"))
     so_far = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     piece = piece.withColumn("at", F.coalesce(F.sum(F.char_length("piece").cast("long")).over(so_far), F.lit(0)))
@@ -167,13 +182,12 @@ def _targets(named: DataFrame) -> DataFrame:
 
 
 def revealing_terms(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """term and disclosure (the share for its strongest entity or kind) of every term beyond the thresholds.
+    """doc, term and disclosure (the share for its strongest entity or kind) of every term beyond the thresholds, for each document that holds it.
 
-    ``docs`` has doc_id, text and base, the pattern spans.
+    ``docs`` has doc (one key for all counts), text and base, the pattern spans.
     """
-    # one key for all counts: rows of one id are one document, and no id is an id
-    docs = docs.withColumn("doc", F.struct("doc_id")).drop("doc_id")
-    near = scratch.keep(nearby_terms(docs, scratch), "near")
+    named = named_rows(docs, scratch)
+    near = scratch.keep(nearby_terms(named), "near")
     both = _targets(near)
     pairs = both.groupBy("target", "term").agg(F.count_distinct("window").alias("windows"), F.count_distinct("doc").alias("together"))
     # a term stands in at least the documents where it is near any entity: what cannot reach the share is out already
@@ -182,19 +196,20 @@ def revealing_terms(docs: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = scratch.keep(pairs.drop("near_any"), "pairs")
     terms = pairs.select("term").distinct()
     bounded = terms.count() <= BROADCAST_TERMS
+    # one pass over the words of the corpus: what stays is where the candidates stand
     words = docs.select("doc", F.explode(_terms(F.col("text"))).alias("term"))
-    met = words.join(F.broadcast(terms) if bounded else terms, "term", "left_semi")
+    met = scratch.keep(words.join(F.broadcast(terms) if bounded else terms, "term", "left_semi"), "met")
     of_term = met.groupBy("term").agg(F.count_distinct("doc").alias("of_term"))
     share = F.col("together") / F.col("of_term")
     strong = pairs.join(of_term, "term").where(_bound(share, F.col("windows")) >= DISCLOSURE)
-    named = docs.select("doc", F.explode("base").alias("s")).select("doc", F.col("s.value").alias("entity"), F.col("s.kind").alias("kind"))
-    of_target = _targets(named).groupBy("target").agg(F.count_distinct("doc").alias("of_target"))
+    found = named.select("doc", F.explode("base").alias("s")).select("doc", F.col("s.value").alias("entity"), F.col("s.kind").alias("kind"))
+    of_target = _targets(found).groupBy("target").agg(F.count_distinct("doc").alias("of_target"))
     # all terms of a kind share its key, so the few kinds are broadcast
     is_kind = F.col("target").isin(*KINDS)
     joined = strong.where(~is_kind).join(of_target.where(~is_kind), "target").unionByName(strong.where(is_kind).join(F.broadcast(of_target.where(is_kind)), "target"))
     bits = F.log2(F.lit(docs.select("doc").distinct().count()) * F.col("together") / (F.col("of_term") * F.col("of_target")))
-    found = joined.where(bits >= BITS).groupBy("term").agg(F.max(share).alias("disclosure"))
-    return scratch.keep(found, "revealing")
+    revealing = joined.where(bits >= BITS).groupBy("term").agg(F.max(share).alias("disclosure"))
+    return met.join(F.broadcast(revealing) if bounded else revealing, "term")
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
@@ -202,16 +217,15 @@ def _term_spans(text: Column, terms: Column) -> Column:
 
     def spans(t: Column) -> Column:
         pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})\Q"), t["term"], F.lit(r"\E(?!\p{L})"))
-        gaps = F.split(text, pattern, -1)
         size = F.char_length(t["term"])
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+        name = F.when(t["disclosure"] >= REMOVAL, "remove").otherwise("generalise")
 
-        def step(acc: Column, gap: Column) -> Column:
-            begin = acc["at"] + F.char_length(gap)
-            span = F.struct(begin.alias("start"), F.lit(KINDS.index("term")).alias("kind"), (begin + size).alias("end"), F.when(t["disclosure"] >= REMOVAL, "remove").otherwise("generalise").alias("value"))
-            return F.struct((begin + size).alias("at"), F.array_append(acc["found"], span).alias("found"))
+        def span(start: Column, i: Column) -> Column:
+            return F.struct(start.alias("start"), F.lit(KINDS.index("term")).alias("kind"), (start + size).alias("end"), name.alias("value"))
 
-        return F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), start, step, lambda a: a["found"])
+        # the last gap ends the text and is followed by no match
+        gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
+        return let(gaps, lambda g: _placed(g, F.transform(F.slice(g, 1, F.size(g) - 1), lambda _: size), span))
 
     return F.flatten(F.transform(terms, spans))
 
@@ -220,19 +234,15 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """``docs`` with ``spans``: base spans and those of revealing terms, by start, then kind."""
     scratch = Scratch(docs.sparkSession, "pii")
     text = text_of(text_column)
-    keyed = docs.select(F.col(id_column).alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    revealing = revealing_terms(keyed, scratch)
-    n = revealing.count()
-    words = keyed.select("doc_id", F.explode(_terms(F.col("text"))).alias("term"))
-    hit = words.join(F.broadcast(revealing) if n <= BROADCAST_TERMS else revealing, "term")
-    hit = scratch.keep(hit.groupBy(F.col("doc_id").alias("__hit")).agg(F.sort_array(F.collect_set(F.struct("term", "disclosure"))).alias("__terms")), "hit") if n else None
-    out = docs.drop("spans")
-    base = base_spans(text)
-    if hit is None:
-        return out.withColumn("spans", base)
-    out = out.join(hit, F.col(id_column).eqNullSafe(F.col("__hit")), "left")
-    more = F.coalesce(_term_spans(text, F.col("__terms")), F.array().cast(SPAN))
-    return out.withColumn("spans", F.sort_array(F.concat(base, more))).drop("__hit", "__terms")
+    # one key for all counts: rows of one id are one document, and no id is an id
+    keyed = docs.select(F.struct(F.col(id_column).alias("doc_id")).alias("doc"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    hit, terms = free_name(docs, "__hit"), free_name(docs, "__terms")
+    found = revealing_terms(keyed, scratch).groupBy(F.col("doc.doc_id").alias(hit)).agg(F.sort_array(F.collect_set(F.struct("term", "disclosure"))).alias(terms))
+    found = scratch.keep(found, "hit")
+    scratch.drop_all_but("hit")
+    out = docs.drop("spans").join(found, F.col(id_column).eqNullSafe(F.col(hit)), "left")
+    more = F.coalesce(_term_spans(text, F.col(terms)), F.array().cast(SPAN))
+    return out.withColumn("spans", F.sort_array(F.concat(base_spans(text), more))).drop(hit, terms)
 
 
 def spell(spans: Column) -> Column:
@@ -250,22 +260,39 @@ def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == number))
 
 
-def mask_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with every span of its text masked; texts without spans, and null ones, stay as they are.
+#: Characters of a piece that masking cuts from; a cut never reads the text from its start.
+PIECE = 1024
 
-    Overlapping spans become one, named after the first.
-    """
-    marked = find_pii(docs, id_column, text_column)
-    text = F.col(text_column)
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end`` out of its pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    held = F.array_join(F.slice(pieces, first + 1, F.floor((end - 1) / PIECE).cast("int") - first + 1), "")
+    return F.when(start >= end, "").otherwise(F.substr(held, (start % PIECE + 1).cast("int"), (end - start).cast("int")))
+
+
+def mask_spans(text: Column, spans: Column) -> Column:
+    """The text with spans, sorted by start, masked; overlapping spans become one, named after the first."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    piece = "struct<at:int,out:string>"
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def bound(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: s["end"].cast("bigint")), F.greatest)
+        last = F.array_max(F.transform(spans, lambda s: s["end"])).cast("bigint")
+        return F.struct(spans.alias("spans"), pieces.alias("pieces"), reach.alias("reach"), last.alias("last"), F.char_length(text).cast("bigint").alias("size"))
 
-    def step(acc: Column, s: Column) -> Column:
-        name = F.when(s["value"].eqNullSafe(F.lit("remove")) & ~is_base(s), "").otherwise(F.get(names, s["kind"]))
-        kept = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        grown = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], kept, name)).otherwise(acc["out"]).alias("out"))
-        return grown.cast(piece)
+    def mask(p: Column) -> Column:
+        def part(s: Column, i: Column) -> Column:
+            name = F.when(s["value"].eqNullSafe(F.lit("remove")) & ~is_base(s), "").otherwise(F.get(names, s["kind"]))
+            before = F.get(p["reach"], i)
+            return F.when(s["start"] >= before, F.concat(_cut(p["pieces"], before, s["start"]), name)).otherwise("")
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(piece)
-    masked = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
-    return marked.withColumn(text_column, F.when(F.size("spans") > 0, masked).otherwise(text)).drop("spans")
+        return F.concat(F.array_join(F.transform(p["spans"], part), ""), _cut(p["pieces"], p["last"], p["size"]))
+
+    return F.when(F.size(spans) > 0, let(let(spans, bound), mask)).otherwise(text)
+
+
+def mask_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with every span of its text masked; texts without spans, and null ones, stay as they are."""
+    marked = find_pii(docs, id_column, text_column)
+    return marked.withColumn(text_column, mask_spans(F.col(text_column), F.col("spans"))).drop("spans")

@@ -212,9 +212,9 @@ def test_words_near_equal_brute_force(spark, monkeypatch):
         runs = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+", t)]
         for a, _, b, kind in brute.pii_spans(t):
             near = [r[2] for r in runs if r[1] <= a][-3:] + [r[2] for r in runs if r[0] >= b][:3]
-            want |= {(t[a:b], w, i) for w in near if 3 <= len(w) <= 40}
+            want |= {(t[a:b], w, i) for w in near}
     keyed = docs(spark, texts).select(F.col("doc_id").alias("doc"), "text", pii.base_spans(F.col("text")).alias("base"))
-    got = {(r["entity"], r["term"], r["doc"]) for r in pii.nearby_terms(keyed, Scratch(spark, "near")).collect()}
+    got = {(r["entity"], r["term"], r["doc"]) for r in pii.nearby_terms(pii.named_rows(keyed, Scratch(spark, "near"))).collect()}
     assert got == want and len(want) > 200
 
 
@@ -229,6 +229,40 @@ def test_counts_are_over_distinct_documents(spark):
     assert all(marks(found, "Zebulon")) and all(marks(found, "Farrell"))
 
 
+def test_terms_of_any_length_are_found_by_both_plans(spark, monkeypatch):
+    rng = random.Random(10)
+    long = "Q" + "uux" * 25
+    plain = [(i, prose(rng, 30)) for i in range(150)]
+    named = [(200 + i, f"{prose(rng, 5)} {long} Xq {prose(rng, 5)} q@y.com {prose(rng, 12)}") for i in range(4)]
+    first = spelled(spark, plain + named)
+    assert all(marks(first, long)) and all(marks(first, "Xq"))
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert sorted(first) == sorted(spelled(spark, plain + named))
+
+
+def test_very_many_matches_in_a_text(spark):
+    n = 100_000
+    body = "é" + "a1@b.co 10.0.0.1 " * n
+    held = docs(spark, [body]).withColumn("spans", pii.base_spans(F.col("text"))).cache()
+    r = held.select(F.size("spans").alias("n"), F.element_at("spans", -1)["end"].alias("end"), pii.mask_spans(F.col("text"), F.col("spans")).alias("masked")).first()
+    assert (r["n"], r["end"], r["masked"]) == (2 * n, len(body) - 1, "é" + "[EMAIL] [IP] " * n)
+    held.unpersist()
+    got = pii.mask_pii(docs(spark, ["é" + "a1@b.co 10.0.0.1 " * 3000, "x"])).orderBy("doc_id").collect()
+    assert got[0]["text"] == "é" + "[EMAIL] [IP] " * 3000 and got[1]["text"] == "x"
+
+
+def test_running_folds_equal_a_loop(spark):
+    from itertools import accumulate
+
+    from docframe.llm.common import running
+
+    rng = random.Random(1)
+    for n in (0, 1, 255, 256, 257, 1000):
+        values = [rng.randrange(100) for _ in range(n)]
+        r = spark.createDataFrame([(values,)], "v array<long>").select(running(F.col("v")).alias("s"), running(F.col("v"), F.greatest).alias("m")).first()
+        assert r["s"] == [0, *accumulate(values)][:n] and r["m"] == [0, *accumulate(values, max)][:n]
+
+
 def test_overlapping_spans_mask_once(spark):
     got = pii.mask_pii(docs(spark, ["call +4111 1111 1111 1111 or 10.0.0.1@a.b", None])).orderBy("doc_id").collect()
     assert got[0]["text"].count("[") == 2 and "1111" not in got[0]["text"] and got[1]["text"] is None
