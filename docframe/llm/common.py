@@ -131,18 +131,21 @@ def numbered(df: DataFrame, column: str, scratch: Scratch, table: str) -> DataFr
 
 
 #: A key is hot when it holds more than one in so many rows; there are fewer hot keys than this.
-HOT_SHARE = 2000
+HOT_SHARE = 1000
 
 
-def join_counted(rows: DataFrame, table: DataFrame, sizes: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` joined to ``table``, which has each ``key`` once; ``sizes`` (key, count) tells how many rows have it.
+def join_salted(rows: DataFrame, table: DataFrame, sizes: DataFrame, keys: list[str], total: int, by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table``; ``sizes`` (keys, count) tells how many of the ``total`` rows have a key.
 
-    Keys with more than one in ``HOT_SHARE`` rows, fewer than ``HOT_SHARE`` of them
-    whatever the input, are broadcast with their values; the others are shuffled.
+    A key of more than one in ``HOT_SHARE`` rows is dealt to several tasks by a hash
+    of the columns ``by``, and what ``table`` has for it goes to each of them; the hot
+    keys, fewer than ``HOT_SHARE`` whatever the input, are broadcast.
     """
-    hot = table.join(sizes.where(F.col("count") * HOT_SHARE > total).select(key), key)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
-    return rows.join(F.broadcast(hot), key).unionByName(cold)
+    n, salt = "__salts", "__salt"
+    hot = sizes.where(F.col("count") * HOT_SHARE > total).select(*keys, F.ceil(F.col("count") * HOT_SHARE / F.lit(max(total, 1))).cast("int").alias(n))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*by), F.col(n)), F.lit(0)).cast("int")).drop(n)
+    right = table.join(F.broadcast(hot), keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))).drop(n)
+    return left.join(right, [*keys, salt], how).drop(salt)
 
 
 def components(edges: DataFrame, scratch: Scratch, table: str) -> DataFrame:

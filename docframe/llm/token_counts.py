@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm import tokens
-from docframe.llm.common import Scratch, join_counted, text_of
+from docframe.llm.common import Scratch, join_salted, text_of
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
@@ -77,11 +77,11 @@ def token_counts(docs: DataFrame, path: str, cache: str, passes: int = 2, id_col
     for k in range(passes):
         mine = keyed.where(F.pmod("h", F.lit(passes)) == k)
         count_misses(mine.withColumn("digest", digest_of(F.col("text"))), path, cache, version)
-    rows = keyed.select("doc_id", digest_of(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
+    rows = keyed.select("doc_id", "h", digest_of(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
     rows = Scratch(spark, "token-counts").keep(rows, "rows")
     sizes = rows.groupBy("digest").count()
     known = stored_counts(spark, cache, version)
-    joined = join_counted(rows, known, sizes, "digest", rows.count())
+    joined = join_salted(rows, known, sizes, ["digest"], rows.count(), ["h"])
     return joined.select("doc_id", "n_bytes", "n_tokens")
 
 
