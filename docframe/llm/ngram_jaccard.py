@@ -19,6 +19,9 @@
    component is kept.
 5. Components of all links follow by stars.
 
+Joins on shingles, and on the digests that copies share, deal hot keys to several
+tasks.
+
 The tables steer the order only; results are exact at any size (but for
 collisions of 64-bit hashes within a pair of sets, and 128-bit set digests).
 
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm import tokens
-from docframe.llm.common import Scratch, components, numbered, text_of
+from docframe.llm.common import Scratch, components, join_salted, numbered, text_of
 
 #: Characters of text turned to shingles together.
 RUN_CHARS = 4_000_000
@@ -293,12 +296,16 @@ def near_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     sets = scratch.keep(document_sets(picked, n, num, den), "sets")
     holders = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = scratch.keep(numbered(holders, "node", scratch, "numbered"), "reps")
-    live = sets.where(F.size("tokens") > 0).join(reps, "digest").where(F.col("doc_id") == F.col("rep"))
+    # by id too, so that the copies of one text do not meet in one task
+    live = sets.where(F.size("tokens") > 0).join(reps.select("digest", F.col("rep").alias("doc_id"), "node"), ["digest", "doc_id"])
     live = live.select("node", "n", "rare", "tokens", "shingles")
     sized = scratch.keep(live.select("node", "shingles").dropDuplicates(["node"]), "shingles")
     posts = live.select("node", "rare", F.explode("tokens").alias("token")).distinct()
-    lead = posts.groupBy("token").agg(F.min_by("node", "rare").alias("leader"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    posts = scratch.keep(posts.join(lead.where(F.col("lo") < F.col("hi")).select("token", "leader"), "token"), "posts")
+    posts = scratch.keep(posts, "asked")
+    lead = posts.groupBy("token").agg(F.min_by("node", "rare").alias("leader"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("count")).where(F.col("lo") < F.col("hi"))
+    total = lead.agg(F.sum("count")).first()[0] or 0
+    posts = scratch.keep(join_salted(posts, lead.select("token", "leader"), lead, ["token"], total, ["node"]), "posts")
+    scratch.drop("asked")
     # a node's group is that of the leader it meets most often
     votes = posts.groupBy("node", "leader").count()
     group = scratch.keep(votes.groupBy("node").agg(F.max_by("leader", "count").alias("g")), "groups")
@@ -316,11 +323,15 @@ def near_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     member = scratch.keep(member.select("node", "g", "block", "ord", "root"), "members")
     # the token-group matrix, for shingles that two components share
     spread = posts.select("token", "node").join(member.select("node", "g", "block", "ord"), "node")
-    top = spread.groupBy("token").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where(F.col("lo") < F.col("hi"))
-    spread = scratch.keep(spread.join(top.select("token", "hi"), "token"), "spread")
+    spread = scratch.keep(spread, "placed")
+    top = spread.groupBy("token").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("count")).where(F.col("lo") < F.col("hi"))
+    top = scratch.keep(top, "top")
+    total = top.agg(F.sum("count")).first()[0] or 0
+    spread = scratch.keep(join_salted(spread, top.select("token", "hi"), top, ["token"], total, ["node"]), "spread")
+    scratch.drop("placed")
     matrix = spread.groupBy("token", "g", "block").agg(F.max("ord").alias("most"))
     asks = spread.where(F.col("ord") < F.col("hi")).select("token", F.col("node").alias("q"), F.col("ord").alias("own"))
-    asks = asks.join(matrix, "token").where(F.col("most") > F.col("own")).select("q", "own", "g", "block").distinct()
+    asks = join_salted(asks, matrix, top.select("token", "count"), ["token"], total, ["q"]).where(F.col("most") > F.col("own")).select("q", "own", "g", "block").distinct()
     asks = scratch.keep(asks, "asks")
     chunks = asks.groupBy("g", "block").agg(F.ceil(F.count("*") / QUERIES).alias("chunks"))
     queries = asks.join(chunks, ["g", "block"]).withColumn("chunk", F.pmod(F.xxhash64("q"), F.col("chunks")))
@@ -338,6 +349,7 @@ def near_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     by_set = scratch.keep(named.join(least, "root").select("digest", "component_id"), "components")
     scratch.drop_all_but("sets", "components")
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "digest")
-    joined = rows.join(by_set, "digest", "left")
+    sizes = rows.groupBy("digest").count()
+    joined = join_salted(rows, by_set, sizes, ["digest"], rows.count(), ["doc_id"], "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"))
