@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docframe.functions.arrays import let, running
 from docframe.spec import INTEGERS, SPARK_TYPE, UnionSpec
 
 _FIRST_KEY = r'^[ \t\r\n]*\{[ \t\r\n]*"([^"\\]*)"[ \t\r\n]*:'
@@ -21,35 +22,83 @@ def kind_of(line: Column) -> Column:
     return F.when(F.regexp_like(line, F.lit(_FIRST_KEY)), F.regexp_extract(line, _FIRST_KEY, 1))
 
 
-def value_kind(line: Column, name: str) -> Column:
-    """STRING, BOOLEAN, VOID (null), OBJECT, ARRAY or a number's type of a member; null where there is none."""
-    member = F.try_variant_get(F.try_parse_json(line), path_of(name), "variant")
-    return F.regexp_extract(F.schema_of_variant(member), "^([A-Z]+)", 1)
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+_TOKEN = _STRING + r"|[{}\[\],]|[^\"{}\[\],]++|\""
+_MEMBER = rf"(?s)^[ \t\r\n]*({_STRING})[ \t\r\n]*:[ \t\r\n]*(.*?)[ \t\r\n]*$"
 
 
-def member_of(line: Column, name: str) -> Column:
-    """A top-level scalar member as JSON text, the first of its name; null for objects, arrays and none.
+def unescaped(token: Column) -> Column:
+    """The text of a JSON string token."""
+    plain = F.substr(token, F.lit(2), F.char_length(token) - 2)
+    return F.when(F.contains(token, F.lit("\\")), F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]")).otherwise(plain)
+
+
+def split_members(text: Column) -> Column:
+    """Array of name and raw of an object's members, or of the raw elements of an array (name null), byte for byte and in order.
 
-    ``json_object_keys`` guards against lines that are no object.
+    The text is cut into strings, brackets, commas and what lies between; a
+    running depth tells the commas of the outermost level. The text must be valid JSON.
     """
-    value = F.get_json_object(line, path_of(name))
-    kind = value_kind(line, name)
-    quoted = F.to_json(F.try_variant_get(F.try_parse_json(line), path_of(name), "variant"))
-    plain = F.when(F.regexp_like(value, F.lit(r"^(-?[0-9.eE+-]+|true|false)$")), value).otherwise(F.concat(F.lit('"'), value, F.lit('"')))
-    return F.when(kind.isin("OBJECT", "ARRAY"), None).when(kind == "STRING", quoted).when(kind == "VOID", "null").when(kind.isNotNull(), value).otherwise(plain)
 
+    def depths(tokens: Column) -> Column:
+        step = lambda t: F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0).cast("bigint")
+        return F.struct(tokens.alias("tokens"), running(F.transform(tokens, step)).alias("depth"))
 
-def member_string_of(line: Column, name: str) -> Column:
-    """A top-level string member's text; null for anything else and for text that needs escapes."""
-    text = F.get_json_object(line, path_of(name))
-    return F.when((value_kind(line, name) == "STRING") & ~F.regexp_like(text, F.lit(r'["\\\x00-\x1F]')), text)
+    def cuts(s: Column) -> Column:
+        t, d = s["tokens"], s["depth"]
+        edge = lambda k: ((F.get(t, k) == ",") & (F.get(d, k) == 1)) | (F.get(t, k).isin("{", "[") & (F.get(d, k) == 0)) | (F.get(t, k).isin("}", "]") & (F.get(d, k) == 1))
+        return F.struct(t.alias("tokens"), F.filter(F.sequence(F.lit(0), F.size(t) - 1), edge).alias("at"))
+
+    def parts(s: Column) -> Column:
+        at = s["at"]
+        span = lambda k, i: F.array_join(F.slice(s["tokens"], k + 2, F.get(at, i + 1) - k - 1), "")
+        held = F.transform(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), span)
+        return F.filter(held, lambda x: F.regexp_like(x, F.lit(r"[^ \t\r\n]")))
+
+    def member(x: Column) -> Column:
+        key = F.regexp_extract(x, _MEMBER, 1)
+        raw = F.when(key != "", F.regexp_extract(x, _MEMBER, 2)).otherwise(F.regexp_replace(x, r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
+        return F.struct(F.when(key != "", unescaped(key)).alias("name"), raw.alias("raw"))
+
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    return let(let(let(tokens, depths), cuts), lambda s: F.transform(parts(s), member))
+
+
+def valid_object(line: Column) -> Column:
+    """Whether a text is one JSON object and nothing more; repeated members are allowed."""
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    held = F.from_json(F.concat(F.lit("["), line, F.lit(",0]")), "array<string>", strict)
+    return F.coalesce(let(held, lambda h: (F.size(h) == 2) & F.startswith(F.get(h, F.lit(0)), F.lit("{"))) & F.regexp_like(line, F.lit(r"^[ \t\r\n]*\{")), F.lit(False))
 
 
 def members(line: Column) -> Column:
-    """Top-level members in order: array of ordinal, name and value (JSON text of scalars without quotes)."""
-    names = F.json_object_keys(line)
-    values = F.from_json(line, "map<string,string>")
-    return F.transform(names, lambda n, i: F.struct(i.alias("ordinal"), n.alias("name"), F.get(F.map_values(F.map_filter(values, lambda k, _: k == n)), F.lit(0)).alias("value")))
+    """Top-level members in order, repeated ones too: array of ordinal, name, value (text of strings, JSON text of other members) and raw (bytes as written)."""
+    plain = lambda m: F.when(F.startswith(m["raw"], F.lit('"')), unescaped(m["raw"])).otherwise(m["raw"])
+    found = F.transform(split_members(line), lambda m, i: F.struct(i.alias("ordinal"), m["name"].alias("name"), plain(m).alias("value"), m["raw"].alias("raw")))
+    return F.when(valid_object(line), found)
+
+
+def raw_member(line: Column, name: str) -> Column:
+    """The first member of a name, at the top level, as it is written; null where there is none."""
+    first = lambda m: F.get(F.filter(m, lambda x: x["name"] == name), F.lit(0))["raw"]
+    # a line without the name, or an escape that may spell it, needs no walk
+    near = F.contains(line, F.lit(name)) | F.contains(line, F.lit("\\"))
+    return F.when(near & valid_object(line), let(split_members(line), first))
+
+
+def name_is(member: Column, name: str) -> Column:
+    """Whether a member (of ``members``) has a name, however its escapes are written."""
+    return member["name"] == name
+
+
+def member_of(line: Column, name: str) -> Column:
+    """A top-level scalar member as it is written, the first of its name; null for objects, arrays and none."""
+    return let(raw_member(line, name), lambda raw: F.when(~F.substr(raw, F.lit(1), F.lit(1)).isin("{", "["), raw))
+
+
+def member_string_of(line: Column, name: str) -> Column:
+    """A top-level string member's text; null for anything else and for text that is written with escapes."""
+    return let(raw_member(line, name), lambda raw: F.when(F.startswith(raw, F.lit('"')) & ~F.contains(raw, F.lit("\\")), F.substr(raw, F.lit(2), F.char_length(raw) - 2)))
 
 
 def tag_of(line: Column, union: UnionSpec) -> Column:
@@ -71,12 +120,23 @@ def int_of(text: Column, kind: str = "bigint") -> Column:
 
 
 def whole_of(text: Column, kind: str = "bigint") -> Column:
-    """An integer that may be written with a zero fraction or an exponent (1.0, 1e2)."""
+    """An integer that may be written with a zero fraction or an exponent (1.0, 1e2); exact in every digit."""
     lo, hi = INTEGERS[kind]
-    number = F.regexp_like(text, F.lit(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]{1,3})?$"))
-    plain = F.when(F.regexp_like(text, F.lit(r"^-?(0|[1-9][0-9]*)$")), text.try_cast("decimal(38,0)"))
-    exact = F.when(number, text.try_cast("decimal(38,10)"))
-    value = F.coalesce(plain, F.when(exact == F.floor(exact), F.floor(exact).cast("decimal(38,0)")))
+    pattern = r"^(-?)(0|[1-9][0-9]*)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]{1,4}))?$"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+
+    def spelled(s: Column) -> Column:
+        digits, shift = F.concat(s["whole"], s["fraction"]), F.coalesce(s["exponent"].try_cast("int"), F.lit(0)) - F.char_length(s["fraction"])
+        # moved left, what falls off must be zeros; moved right, zeros are added
+        kept = F.greatest(F.char_length(digits) + shift, F.lit(0))
+        left = F.when(F.regexp_like(F.substr(digits, kept + 1), F.lit("^0*$")), F.concat(F.lit("0"), F.substr(digits, F.lit(1), kept)))
+        zero = F.regexp_like(digits, F.lit("^0+$"))
+        return F.when(zero, "0").when(shift < 0, left).when(shift <= 40, F.concat(digits, F.repeat(F.lit("0"), F.greatest(shift, F.lit(0)))))
+
+    parts = F.struct(part(2).alias("whole"), part(3).alias("fraction"), part(4).alias("exponent"))
+    slow = F.concat(part(1), let(parts, spelled)).try_cast("decimal(38,0)")
+    plain = F.regexp_like(text, F.lit(r"^-?(0|[1-9][0-9]*)$"))
+    value = F.when(plain, text.try_cast("decimal(38,0)")).when(F.regexp_like(text, F.lit(pattern)), slow)
     return F.when(value.between(F.lit(str(lo)).cast("decimal(38,0)"), F.lit(str(hi)).cast("decimal(38,0)")), value).cast(SPARK_TYPE.get(kind, kind))
 
 

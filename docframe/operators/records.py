@@ -1,150 +1,427 @@
 """Typed reading and writing of JSON records under a declared shape, as column expressions.
 
 ``parse_json_record`` gives ``struct<value, _error>``: a refused record has a null
-value and an error with a code and the field. Presence, null and wrong type are
-told apart, which Spark's own ``from_json`` cannot.
+value and an error with a code and the path of the member. A line is one JSON
+object and nothing more. It is parsed once, to a variant, which also refuses
+members repeated at any depth; members are then taken by name and read by their
+declared kind, in records, lists, maps and tuples alike. Presence, null and wrong
+type are told apart.
+
+Policies that a variant cannot follow (repeated members taken first, last or
+merged, names folded, texts kept byte for byte) read the members from the text
+itself, level by level, by ``route.split_members``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.functions.route import int_of, path_of, tag_of, whole_of
-from docframe.spec import INTEGERS, MISSING, FieldSpec, RecordSpec, UnionSpec
+from docframe.functions.arrays import let
+from docframe.functions.route import int_of, path_of, raw_member, split_members, tag_of, valid_object, whole_of
+from docframe.functions.scalars import rfc3339
+from docframe.functions.text import json_string
+from docframe.spec import INTEGERS, MISSING, POLICIES, FieldSpec, ListOf, MapOf, RecordSpec, TupleOf, UnionSpec, holds_raw, type_of
 
 ERROR = "struct<code:string,field:string>"
-#: What a text must be to be one JSON value as far as the parser goes: brackets close and nothing trails.
-_TRAILING = r"(?s)^[ \t\r\n]*\{.*\}[ \t\r\n]*$"
-
-
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+#: A lone surrogate escape, which no text can hold.
+_LONE = r"(?i)(?<!\\)((?:\\\\)*)\\u(?:d[89ab][0-9a-f]{2}(?!\\ud[c-f])|(?<!\\ud[89ab][0-9a-f]{2}\\u)d[c-f][0-9a-f]{2})"
 
 
 def error(code: str, name: str | None = None) -> Column:
     return F.struct(F.lit(code).alias("code"), F.lit(name).cast("string").alias("field")).cast(ERROR)
 
 
-def _text(line: Column, name: str, policy: str) -> Column:
-    """A member's plain text: the last of its name under that policy, else the first."""
-    if policy == "last":
-        return F.from_json(line, f"`{name}` string")[name]
-    return F.get_json_object(line, path_of(name))
-
-
-def _kind(line: Column, name: str) -> Column:
-    """text, number, boolean, object, array or null, from the line's own spelling of the first such member."""
-    quoted = '"' + name.replace("\\", "\\\\").replace('"', '\\"') + '"'
-    first = F.regexp_extract(line, "(?s)" + _escape(quoted) + r"[ \t\r\n]*:[ \t\r\n]*(.)", 1)
-    return (
-        F.when(first == '"', "text")
-        .when(first == "{", "object")
-        .when(first == "[", "array")
-        .when(first.isin("t", "f"), "boolean")
-        .when(first == "n", "null")
-        .otherwise("number")
-    )
-
-
-def _escape(text: str) -> str:
-    return "".join("\\" + c if not c.isalnum() else c for c in text)
-
-
-def _found(line: Column, keys: Column, f: FieldSpec, record: RecordSpec) -> Column:
-    """struct<present, kind, text> of a field under any of its names."""
-    kind, text, present = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False)
-    for n in reversed([record.wire_name(f), *f.aliases]):
-        here = F.array_contains(keys, n)
-        value = _text(line, n, record.duplicates)
-        text = F.when(here, value).otherwise(text)
-        kind = F.when(here, _kind(line, n)).otherwise(kind)
-        present = present | here
-    return F.struct(present.alias("present"), kind.alias("kind"), text.alias("text"))
-
-
-def _typed(found: Column, f: FieldSpec) -> tuple[Column, str]:
-    """The value as its type, null where it does not fit, and the JSON kind that it must have ('' is any)."""
-    kind, text = found["kind"], found["text"]
-    if f.kind in INTEGERS:
-        return F.when(kind == "number", whole_of(text, f.kind)), "number"
-    if f.kind in ("float", "double"):
-        value = text.try_cast(f.kind)
-        return F.when((kind == "number") & (F.abs(text.try_cast("double")) < float("inf")), value), "number"
-    if f.kind == "boolean":
-        return F.when(kind == "boolean", text == "true"), "boolean"
-    if f.kind == "raw":
-        return text, ""
-    return F.when(kind == "text", text), "text"
-
-
-def _judge(found: Column, value: Column, f: FieldSpec, record: RecordSpec) -> Column:
-    """struct<value, error> of a field that was looked for."""
+def _below(name: Column, e: Column) -> Column:
+    """An error with ``name`` before its path."""
+    path = F.concat(name, F.when(e["field"].isNull() | F.startswith(e["field"], F.lit("[")), "").otherwise("."), F.coalesce(e["field"], F.lit("")))
+    return F.when(e.isNotNull(), F.struct(e["code"].alias("code"), path.alias("field"))).cast(ERROR)
+
+
+def _result(value: Column, kind: Any, bad: Column) -> Column:
+    """struct<value, error>, the value null where there is an error."""
+    return F.struct(F.when(bad.isNull(), value).cast(type_of(kind)).alias("value"), bad.cast(ERROR).alias("error"))
+
+
+def _json_kind(x: Column) -> Column:
+    """BIGINT, DECIMAL, DOUBLE, STRING, BOOLEAN, VOID, OBJECT or ARRAY of a variant."""
+    return F.substring_index(F.substring_index(F.schema_of_variant(x), "<", 1), "(", 1)
+
+
+_NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
+
+
+def _scalar(x: Column, kind: str, record: RecordSpec) -> Column:
+    """struct<value, error> of a scalar from its variant."""
+    as_ = lambda t: F.try_variant_get(x, "$", t)
+    wrong, range_ = error("UnexpectedType"), error("NumberOutOfRange")
+
+    def of(k: Column) -> Column:
+        if kind in INTEGERS:
+            lo, hi = INTEGERS[kind]
+            quick = F.when(as_("bigint").between(lo, min(hi, 2**63 - 1)), as_("bigint")).cast(type_of(kind))
+            # a decimal that fits 64 bits was written with a fraction, as larger ones are whole
+            small = as_("decimal(38,0)").between(F.lit(-(2**63)), F.lit(2**63 - 1))
+            slow = whole_of(as_("string"), kind)
+            if record.integers == "digits":
+                slow = F.when((k == "DECIMAL") & ~small, slow)
+            value = F.when(k == "BIGINT", quick).otherwise(slow)
+            return let(value, lambda v: _result(v, kind, F.when(~k.isin(*_NUMBERS), wrong).when(v.isNull(), range_)))
+        if kind in ("float", "double"):
+            value = as_("string").try_cast(kind)
+            fits = F.abs(as_("string").try_cast("double")) < float("inf")
+            return _result(value, kind, F.when(~k.isin(*_NUMBERS), wrong).when(~F.coalesce(fits, F.lit(False)) | (F.abs(value) == float("inf")), range_))
+        if kind.startswith("decimal"):
+            value = as_("string").try_cast(kind)
+            whole = value.cast("decimal(38,18)") == as_("string").try_cast("decimal(38,18)")
+            return let(value, lambda v: _result(v, kind, F.when(~k.isin(*_NUMBERS), wrong).when(v.isNull(), range_).when(~F.coalesce(whole, F.lit(False)), error("InexactNumber"))))
+        if kind == "boolean":
+            return _result(as_("boolean"), kind, F.when(k != "BOOLEAN", wrong))
+        text = as_("string")
+        if kind == "string":
+            return _result(text, kind, F.when(k != "STRING", wrong))
+        if kind == "timestamp":
+            made = let(rfc3339(text), lambda t: F.timestamp_micros(t["seconds"] * 1_000_000 + F.floor(t["nanos"] / 1000)))
+        elif kind == "date":
+            made = F.when(F.regexp_like(text, F.lit(r"^\d{4}-\d\d-\d\d$")), text.try_cast("date"))
+        else:
+            made = F.try_to_binary(text, F.lit("base64"))
+        return let(made, lambda v: _result(v, kind, F.when(k != "STRING", wrong).when(v.isNull(), error("UnsupportedValue"))))
+
+    return let(_json_kind(x), of)
+
+
+def _value(x: Column, raw: Column, kind: Any, record: RecordSpec) -> Column:
+    """struct<value, error> of a member from its variant; ``raw`` is its text, null where no policy asks for it."""
+    if isinstance(kind, RecordSpec):
+        inner = replace(kind, **{p: getattr(record, p) for p in POLICIES})
+        parsed = _text_object(raw, inner) if _by_text(record) else _object(x, inner)
+        return let(parsed, lambda p: _result(p["value"], kind, p["_error"]))
+    if isinstance(kind, ListOf):
+        element = lambda e, r: _nullable(e, r, kind.element, kind.nullable, record)
+
+        def items(found: Column) -> Column:
+            bad = F.get(F.filter(F.transform(found, lambda p, i: _below(F.concat(F.lit("["), i.cast("string"), F.lit("]")), p["error"])), lambda e: e.isNotNull()), F.lit(0))
+            over = F.when(F.size(found) > kind.max_items, error("ItemLimit")) if kind.max_items is not None else F.lit(None).cast(ERROR)
+            return _result(F.transform(found, lambda p: p["value"]), kind, F.coalesce(F.when(found.isNull(), error("UnexpectedType")), over, bad))
+
+        if _by_text(record):
+            parse = (lambda r: F.when(r == "null", F.try_parse_json(r)).otherwise(F.try_parse_json(F.lit("0")))) if isinstance(kind.element, RecordSpec) else F.try_parse_json
+            found = F.when(F.startswith(raw, F.lit("[")), F.transform(_elements(raw, kind), lambda r: element(parse(r), r)))
+        else:
+            found = F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda e: element(e, F.lit(None).cast("string")))
+        return let(found, items)
+    if isinstance(kind, MapOf):
+
+        def entries(found: Column) -> Column:
+            bad = F.get(F.filter(F.transform(found, lambda p: _below(p["key"], p["read"]["error"])), lambda e: e.isNotNull()), F.lit(0))
+            pairs = F.transform(found, lambda p: F.struct(p["key"], p["read"]["value"].alias("value")))
+            return _result(F.map_from_entries(pairs), kind, F.coalesce(F.when(found.isNull(), error("UnexpectedType")), bad))
+
+        pair = lambda key, v, r: F.struct(key.alias("key"), _nullable(v, r, kind.value, kind.nullable, record).alias("read"))
+        if _by_text(record):
+            held = lambda m: F.transform(F.array_distinct(F.transform(m, lambda e: e["name"])), lambda n: F.struct(n.alias("name"), _pick(F.transform(F.filter(m, lambda e: e["name"] == n), lambda e: e["raw"]), kind.value, record).alias("raw")))
+            found = F.when(F.startswith(raw, F.lit("{")), let(split_members(raw), lambda m: F.transform(held(m), lambda e: pair(e["name"], F.try_parse_json(e["raw"]), e["raw"]))))
+        else:
+            found = F.transform(F.map_entries(F.try_variant_get(x, "$", "map<string,variant>")), lambda e: pair(e["key"], e["value"], F.lit(None).cast("string")))
+        return let(found, entries)
+    if isinstance(kind, TupleOf):
+
+        def places(found: Column) -> Column:
+            read = [_value(F.get(found, F.lit(i)), F.lit(None).cast("string"), k, replace(record, duplicates="reject", names="exact")) for i, k in enumerate(kind.kinds)]
+            return let(F.struct(*[r.alias(f"_{i}") for i, r in enumerate(read)]), lambda p: joined(found, p))
+
+        def joined(found: Column, p: Column) -> Column:
+            bad = F.coalesce(F.when(found.isNull() | (F.size(found) != len(kind.kinds)), error("UnexpectedType")), *[_below(F.lit(f"[{i}]"), p[f"_{i}"]["error"]) for i in range(len(kind.kinds))])
+            return _result(F.struct(*[p[f"_{i}"]["value"].alias(f"_{i}") for i in range(len(kind.kinds))]), kind, bad)
+
+        return let(F.try_variant_get(x, "$", "array<variant>"), places)
+    if kind == "raw":
+        return _result(raw, kind, F.lit(None))
+    return _scalar(x, kind, record)
+
+
+def _elements(raw: Column, kind: ListOf) -> Column:
+    """The elements of an array's text as texts; those that may hold repeated members are never parsed whole."""
+    if isinstance(kind.element, (RecordSpec, MapOf)):
+        return F.transform(F.from_json(raw, "array<string>"), lambda x: F.coalesce(x, F.lit("null")))
+    return F.transform(F.from_json(raw, "array<variant>"), lambda x: F.coalesce(F.to_json(x), F.lit("null")))
+
+
+def _nullable(x: Column, raw: Column, kind: Any, nullable: bool, record: RecordSpec) -> Column:
+    """An element of a list or map, which may be null if it is declared so."""
+    none = F.is_variant_null(x)
+    bad = F.lit(None).cast(ERROR) if nullable else error("UnexpectedType")
+    return F.when(none, _result(F.lit(None), kind, bad)).otherwise(_value(x, raw, kind, record))
+
+
+def _field(x: Column, raw: Column, f: FieldSpec, record: RecordSpec) -> Column:
+    """struct<value, error> of a field from its member's variant, null where it is missing."""
     wire = record.wire_name(f)
-    _, due = _typed(found, f)
-    checks = []
-    if due:
-        checks += [F.when(found["kind"] != due, error("UnexpectedType", wire)), F.when(value.isNull(), error("NumberOutOfRange" if due == "number" else "UnexpectedType", wire))]
-    if f.minimum is not None:
-        checks.append(F.when(value < F.lit(f.minimum), error("NumberOutOfRange", wire)))
-    if f.maximum is not None:
-        checks.append(F.when(value > F.lit(f.maximum), error("NumberOutOfRange", wire)))
-    if f.max_len is not None:
-        checks.append(F.when(F.octet_length(value) > f.max_len, error("LengthLimit", wire)))
-    if f.allowed is not None:
-        checks.append(F.when(~value.isin(*f.allowed), error("UnknownVariant", wire)))
-    if f.validate is not None:
-        checks.append(F.when(~f.validate(value), error("CustomRejected", wire)))
     none = F.lit(None).cast(ERROR)
-    bad = F.coalesce(*checks, none)
-    given = F.when(found["kind"] == "null", none if f.nullable else error("UnexpectedType", wire)).otherwise(bad)
+    made = f.default() if callable(f.default) else F.lit(None if f.default is MISSING else f.default)
+    if isinstance(f.default, (list, tuple)):
+        made = F.array(*map(F.lit, f.default))
+    fallback = made.cast(f.spark_type)
+    out = lambda value, bad: F.struct(value.cast(f.spark_type).alias("value"), bad.cast(ERROR).alias("error"))
+    if f.skip_decode:
+        return out(fallback, none)
+    code = F.struct(F.lit(f.code).alias("code"), F.lit(None).cast("string").alias("field")).cast(ERROR)
+
+    def judge(read: Column) -> Column:
+        value = read["value"]
+        checks = [read["error"]]
+        if f.minimum is not None:
+            checks.append(F.when(value < F.lit(f.minimum), error("NumberOutOfRange")))
+        if f.maximum is not None:
+            checks.append(F.when(value > F.lit(f.maximum), error("NumberOutOfRange")))
+        if f.max_len is not None:
+            checks.append(F.when(F.octet_length(value) > f.max_len, error("LengthLimit")))
+        if f.allowed is not None:
+            checks.append(F.when(~value.isin(*f.allowed), error("UnknownVariant")))
+        if f.constant is not MISSING:
+            checks.append(F.when(~value.eqNullSafe(F.lit(f.constant)), error("UnexpectedType")))
+        if f.validate is not None:
+            checks.append(F.when(~F.coalesce(f.validate(value), F.lit(False)), code))
+        if f.decode is None:
+            return out(value, F.coalesce(*checks))
+        return let(f.decode(value), lambda v: out(v, F.coalesce(*checks, F.when(v.isNull() & value.isNotNull(), code))))
+
     optional = f.default is not MISSING or f.nullable
-    fallback = F.lit(None if f.default is MISSING else f.default).cast(f.spark_type)
-    return F.struct(
-        F.when(found["present"], value.cast(f.spark_type)).otherwise(fallback).alias("value"),
-        F.when(found["present"], given).otherwise(none if optional else error("MissingField", wire)).alias("error"),
-    )
+    if f.nullable:
+        of_null = out(F.lit(None), none)
+    elif record.nulls == "keep":
+        of_null = out(fallback if f.default is not MISSING else _zero(f), none)
+    else:
+        of_null = out(F.lit(None), error("UnexpectedType"))
+    given = let(_value(x, raw, f.kind, record), judge)
+    if f.kind != "raw":
+        given = F.when(F.is_variant_null(x), of_null).otherwise(given)
+    missing = out(fallback, none if optional else error("MissingField"))
+    return let(F.when(x.isNull(), missing).otherwise(given), lambda r: F.struct(r["value"].alias("value"), _below(F.lit(wire), r["error"]).alias("error")))
+
+
+def _zero(f: FieldSpec) -> Column:
+    """What a null leaves in a field without nulls and default: zero, an empty text or an empty list, else null."""
+    t = f.spark_type
+    if t == "string":
+        return F.lit("")
+    if t == "boolean":
+        return F.lit(False)
+    if t.startswith(("array", "map", "struct", "timestamp", "date", "binary")):
+        return F.array() if t.startswith("array") else F.lit(None)
+    return F.lit(0)
+
+
+def _names(record: RecordSpec, f: FieldSpec) -> list[str]:
+    return [record.wire_name(f), *f.aliases]
+
+
+def _whole(names: Column, record: RecordSpec) -> list[Column]:
+    """What may be wrong with the names of an object as a whole."""
+    checks = []
+    slots = [_names(record, f) for f in record.fields if f.aliases]
+    if record.duplicates == "reject":
+        checks += [F.when(F.size(F.array_intersect(names, F.array(*map(F.lit, n)))) > 1, error("DuplicateField")) for n in slots]
+    if record.unknown_fields == "reject":
+        extra = F.array_except(names, F.array(*[F.lit(n) for f in record.fields for n in _names(record, f)]))
+        checks.append(F.when(F.size(extra) > 0, F.struct(F.lit("UnknownField").alias("code"), F.get(extra, F.lit(0)).alias("field")).cast(ERROR)))
+    return checks
 
 
-def _field(line: Column, keys: Column, f: FieldSpec, record: RecordSpec) -> Column:
-    """struct<value, error> of a field."""
-    if f.skip_decode:
-        return F.struct(F.lit(f.default).cast(f.spark_type).alias("value"), F.lit(None).cast(ERROR).alias("error"))
-    return let(_found(line, keys, f, record), lambda found: let(_typed(found, f)[0], lambda value: _judge(found, value, f, record)))
+def _joined(fields: Column, whole: Column, record: RecordSpec) -> Column:
+    """struct<value, _error> of a record from its fields' results."""
+    bad = F.coalesce(whole, *[fields[f.field]["error"] for f in record.fields])
+    values = F.struct(*[fields[f.field]["value"].alias(f.field) for f in record.fields])
+    return let(bad, lambda e: F.struct(F.when(e.isNull(), values).alias("value"), e.alias("_error")))
 
 
-def parse_json_record(line: Column, record: RecordSpec) -> Column:
-    """struct<value, _error> of a line read as the record."""
-    known = [n for f in record.fields for n in (record.wire_name(f), *f.aliases)]
-
-    def shape(s: Column) -> list[Column]:
-        """What may be wrong with the object as a whole."""
-        line, keys = s["line"], s["keys"]
-        other = F.regexp_like(line, F.lit(r"^[ \t\r\n]*[\[\"0-9tfn-]"))
-        checks = [F.when(~F.regexp_like(line, F.lit(_TRAILING)) | keys.isNull(), F.when(other, error("UnexpectedType")).otherwise(error("SyntaxError")))]
+def _object(x: Column, record: RecordSpec) -> Column:
+    """struct<value, _error> of a variant that must be an object."""
+    nothing = F.lit(None).cast("string")
+
+    def read(m: Column) -> Column:
+        found = lambda f: F.coalesce(*[F.try_element_at(m, F.lit(n)) for n in _names(record, f)])
+        field = lambda f: let(found(f), lambda v: _field(v, nothing, f, record))
+        fields = F.struct(*[field(f).alias(f.field) for f in record.fields])
+        whole = F.coalesce(F.when(m.isNull(), error("UnexpectedType")), *_whole(F.map_keys(m), record), F.lit(None).cast(ERROR))
+        return let(fields, lambda p: _joined(p, whole, record))
+
+    return let(F.try_variant_get(x, "$", "map<string,variant>"), read)
+
+
+# --- members from the text itself ---
+
+
+def _by_text(record: RecordSpec) -> bool:
+    return record.duplicates != "reject" or record.names == "fold" or holds_raw(record)
+
+
+def _pick(raws: Column, kind: Any, record: RecordSpec) -> Column:
+    """The text that counts among those of one name: the first, the last, or all merged."""
+    if record.duplicates in ("reject", "first"):
+        return F.get(raws, F.lit(0))
+    last = F.element_at(raws, -1)
+    if record.duplicates == "last" or not isinstance(kind, (RecordSpec, MapOf, ListOf)):
+        return F.when(F.size(raws) > 0, last)
+    inner = lambda r: F.regexp_replace(r, r"^[{\[][ \t\r\n]*|[ \t\r\n]*[}\]]$", "")
+    if isinstance(kind, ListOf):
+        # by position: a later list replaces, or merges, what an earlier one has there and keeps the rest
+        held = F.transform(raws, lambda r: _elements(r, kind))
+        both = (lambda a, b: F.concat(F.lit("{"), F.array_join(F.filter(F.array(inner(a), inner(b)), lambda x: x != ""), ","), F.lit("}"))) if isinstance(kind.element, (RecordSpec, MapOf)) else (lambda a, b: b)
+        zipped = F.aggregate(held, F.array().cast("array<string>"), lambda acc, r: F.zip_with(acc, r, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both(a, b))))
+        return F.when(F.size(raws) < 2, last).when(F.exists(raws, lambda r: ~F.startswith(r, F.lit("["))), last).otherwise(F.concat(F.lit("["), F.array_join(zipped, ","), F.lit("]")))
+    merged = F.concat(F.lit("{"), F.array_join(F.filter(F.transform(raws, inner), lambda x: x != ""), ","), F.lit("}"))
+    return F.when(F.size(raws) < 2, last).when(F.exists(raws, lambda r: ~F.startswith(r, F.lit("{"))), last).otherwise(merged)
+
+
+def _text_object(text: Column, record: RecordSpec) -> Column:
+    """struct<value, _error> of a text that must be an object, valid JSON already."""
+
+    def read(m: Column) -> Column:
+        names = F.transform(m, lambda e: e["name"])
+
+        def raw_of(f: FieldSpec) -> Column:
+            mine = F.transform(F.filter(m, lambda e: e["name"].isin(*_names(record, f))), lambda e: e["raw"])
+            return _pick(mine, f.kind, record)
+
+        def field(f: FieldSpec) -> Column:
+            # whatever is no scalar is read from its text, so only scalars are parsed here
+            scalar = isinstance(f.kind, (str, TupleOf)) and f.kind != "raw"
+            x = lambda r: F.try_parse_json(r if scalar else F.when(r == "null", r).when(r.isNotNull(), F.lit("0")))
+            return let(raw_of(f), lambda r: let(x(r), lambda v: _field(v, r, f, record)))
+
+        fields = F.struct(*[field(f).alias(f.field) for f in record.fields])
+        checks = [F.when(m.isNull(), error("UnexpectedType"))]
         if record.duplicates == "reject":
-            checks.append(F.when(F.size(keys) != F.size(F.array_distinct(keys)), error("DuplicateField")))
-            slots = [[record.wire_name(f), *f.aliases] for f in record.fields if f.aliases]
-            checks += [F.when(F.size(F.array_intersect(keys, F.array(*[F.lit(n) for n in names]))) > 1, error("DuplicateField")) for names in slots]
-        if record.unknown_fields == "reject":
-            extra = F.array_except(keys, F.array(*[F.lit(n) for n in known]))
-            checks.append(F.when(F.size(extra) > 0, F.struct(F.lit("UnknownField").alias("code"), F.get(extra, F.lit(0)).alias("field")).cast(ERROR)))
-        return checks
+            checks.append(F.when(F.size(names) != F.size(F.array_distinct(names)), error("DuplicateField")))
+        whole = F.coalesce(*checks, *_whole(names, record), F.lit(None).cast(ERROR))
+        return let(fields, lambda p: _joined(p, whole, record))
+
+    held = F.when(F.regexp_like(text, F.lit(r"^[ \t\r\n]*\{")), split_members(text))
+    if record.names == "fold":
+        known = [n for f in record.fields for n in _names(record, f)]
+        spelled = F.create_map(*[F.lit(x) for n in reversed(known) for x in (n.lower(), n)]) if len({n.lower() for n in known}) == len(known) else F.create_map(*[F.lit(x) for n in {k.lower(): k for k in reversed(known)}.items() for x in n])
+        held = F.transform(held, lambda e: F.struct(F.when(e["name"].isin(*known), e["name"]).otherwise(F.coalesce(F.try_element_at(spelled, F.lower(e["name"])), e["name"])).alias("name"), e["raw"].alias("raw")))
+    return let(held, read)
+
+
+#: Kinds that Spark's own parser reads exactly or not at all; what it reads otherwise is judged by its variant.
+_OWN = {"tinyint": "tinyint", "smallint": "smallint", "int": "int", "bigint": "bigint", "u8": "smallint", "u16": "int", "u32": "bigint", "boolean": "boolean"}
+_PLAIN = {*_OWN, "string", "double", "float", "u64"}
+
+
+def _quick(record: RecordSpec) -> bool:
+    plain = lambda f: isinstance(f.kind, str) and f.kind in _PLAIN and not f.aliases and f.decode is None and f.constant is MISSING and not callable(f.default) and not isinstance(f.default, (list, tuple))
+    return not _by_text(record) and record.unicode == "reject" and all(map(plain, record.fields))
+
+
+def _own_type(f: FieldSpec) -> str:
+    return "variant" if f.nullable or f.kind not in _OWN else _OWN[f.kind]
+
+
+def _quick_row(line: Column, record: RecordSpec) -> Column:
+    """struct of what one pass of Spark's parser gives for a flat record, and the names of its members."""
+    schema = ",".join(f"`{record.wire_name(f)}`:{_own_type(f)}" for f in record.fields)
+    held = F.from_json(F.concat(F.lit("["), line, F.lit(",{}]")), f"array<struct<{schema}>>", {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
+    row = let(held, lambda h: F.when(F.size(h) == 2, F.get(h, F.lit(0))))
+    return F.struct(row.alias("row"), F.json_object_keys(line).alias("names"))
+
+
+def _quick_values(s: Column, line: Column, record: RecordSpec) -> tuple[Column, Column]:
+    """The record of a line that is right in every respect, and whether it is; all other lines are for the whole judgement."""
+    row, names = s["row"], s["names"]
+    good = [row.isNotNull(), F.size(names) == F.size(F.array_distinct(names)), ~F.contains(line, F.lit("\\u"))]
+    if record.unknown_fields == "reject":
+        good.append(F.size(F.array_except(names, F.array(*[F.lit(n) for n in record.wire_names()]))) == 0)
+    else:
+        good.append(F.try_parse_json(line).isNotNull())
+    values = []
+    for f in record.fields:
+        wire = record.wire_name(f)
+        x, absent = row[wire], ~F.array_contains(names, wire)
+        if f.skip_decode:
+            values.append(F.lit(f.default).cast(f.spark_type).alias(f.field))
+            continue
+        value = x
+        if _own_type(f) == "variant":
+            kind = F.schema_of_variant(x)
+            value = F.try_variant_get(x, "$", f.spark_type)
+            right = {"string": kind == "STRING", "boolean": kind == "BOOLEAN"}.get(f.kind, kind == "BIGINT" if f.kind in INTEGERS else kind.isin("BIGINT", "DOUBLE") | F.startswith(kind, F.lit("DECIMAL")))
+            if f.kind in ("double", "float"):
+                right = right & (F.abs(value) < float("inf"))
+            empty = x.isNull() if f.nullable else absent & F.lit(f.default is not MISSING)
+        else:
+            right, empty = x.isNotNull(), absent & F.lit(f.default is not MISSING)
+        checks = [right, value.isNotNull()]
+        if f.kind.startswith("u"):
+            checks.append(value.between(0, INTEGERS[f.kind][1] if f.kind != "u64" else 2**63 - 1))
+        if f.minimum is not None:
+            checks.append(value >= F.lit(f.minimum))
+        if f.maximum is not None:
+            checks.append(value <= F.lit(f.maximum))
+        if f.max_len is not None:
+            checks.append(F.octet_length(value) <= f.max_len)
+        if f.allowed is not None:
+            checks.append(value.isin(*f.allowed))
+        if f.validate is not None:
+            checks.append(f.validate(value))
+        fits = checks[0]
+        for c in checks[1:]:
+            fits = fits & c
+        good.append(empty | fits)
+        fallback = F.lit(None if f.default is MISSING else f.default)
+        values.append((F.when(absent, fallback).otherwise(value) if f.default is not MISSING else value).cast(f.spark_type).alias(f.field))
+    whole = good[0]
+    for g in good[1:]:
+        whole = whole & g
+    return F.struct(*values), F.coalesce(whole, F.lit(False))
 
-    def fields(s: Column) -> Column:
-        parts = [_field(s["line"], s["keys"], f, record).alias(f.field) for f in record.fields]
-        return F.struct(F.coalesce(*shape(s)).alias("whole"), F.struct(*parts).alias("fields"))
 
-    def result(r: Column) -> Column:
-        bad = F.coalesce(r["whole"], *[r["fields"][f.field]["error"] for f in record.fields])
-        values = F.struct(*[r["fields"][f.field]["value"].alias(f.field) for f in record.fields])
-        return let(bad, lambda e: F.struct(F.when(e.isNull(), values).alias("value"), e.alias("_error")))
+def parse_json_record(line: Column, record: RecordSpec) -> Column:
+    """struct<value, _error> of a line read as the record.
 
-    source = F.struct(line.alias("line"), F.json_object_keys(line).alias("keys"))
-    return let(source, lambda s: let(fields(s), result))
+    A flat record under the strict policies is read by one pass of Spark's parser;
+    lines that it does not find right in every respect get the whole judgement.
+    """
+    if not _quick(record):
+        return judge_json_record(line, record)
+
+    def read(s: Column) -> Column:
+        values, good = _quick_values(s["quick"], s["line"], record)
+        return F.when(good, F.struct(values.alias("value"), F.lit(None).cast(ERROR).alias("_error"))).otherwise(judge_json_record(s["line"], record))
+
+    return let(F.struct(line.alias("line"), _quick_row(line, record).alias("quick")), read)
+
+
+def judge_json_record(line: Column, record: RecordSpec) -> Column:
+    """struct<value, _error> of a line under any policy, with the reason for a refusal."""
+    lone = F.regexp_like(line, F.lit(_LONE)) & F.contains(line, F.lit("\\u"))
+    clean = F.when(lone, F.regexp_replace(line, _LONE, r"$1\\ufffd")).otherwise(line) if record.unicode == "replace" else line
+    refused = F.when(lone, error("InvalidUtf8")) if record.unicode == "reject" else F.lit(None).cast(ERROR)
+    other = F.regexp_like(line, F.lit(r"^[ \t\r\n]*[\[\"0-9tfn-]"))
+    syntax = F.when(other, error("UnexpectedType")).otherwise(error("SyntaxError"))
+    fail = lambda e: F.struct(F.lit(None).cast(type_of(record)).alias("value"), e.cast(ERROR).alias("_error"))
+
+    def judged(s: Column) -> Column:
+        """The text as one JSON object, or what is wrong with it."""
+        line, bad = s["line"], s["bad"]
+        if _by_text(record):
+            good = valid_object(line)
+            if record.duplicates == "reject":
+                # only a line with repeated members, if any, fails here
+                bad = F.coalesce(bad, F.when(good & F.try_parse_json(line).isNull(), error("DuplicateField")))
+            return F.when(bad.isNotNull(), fail(bad)).when(good, _text_object(line, record)).otherwise(fail(syntax))
+        # one value alone: what follows it would be more than the 0 that is set behind it
+        held = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), line, F.lit(",0]"))), "$", "array<variant>")
+        doubled = F.when(valid_object(line), error("DuplicateField")).otherwise(syntax)
+        return F.when(bad.isNotNull(), fail(bad)).otherwise(let(held, lambda h: F.when(F.size(h) == 2, _object(F.get(h, F.lit(0)), record)).otherwise(fail(doubled))))
+
+    return let(F.struct(clean.alias("line"), refused.alias("bad")), judged)
 
 
 def parse_json_union(line: Column, union: UnionSpec) -> Column:
@@ -152,19 +429,27 @@ def parse_json_union(line: Column, union: UnionSpec) -> Column:
     return let(F.struct(line.alias("line"), tag_of(line, union).alias("tag")), lambda s: _union(s["line"], s["tag"], union))
 
 
+def _member_text(line: Column, name: str, record: RecordSpec) -> Column:
+    """A member's text: as it is written where the record keeps texts or repeated members, else as Spark writes it."""
+    return raw_member(line, name) if _by_text(record) else F.get_json_object(line, path_of(name))
+
+
 def _union(line: Column, tag: Column, union: UnionSpec) -> Column:
     arms, wrong = [], F.when(tag.isNull(), error("UnknownVariant"))
+    if union.tag is None:  # the arm is the only member
+        wrong = F.coalesce(F.when(F.size(F.json_object_keys(line)) > 1, error("UnknownField")), wrong)
+    wrong = F.coalesce(F.when(~valid_object(line), error("SyntaxError")), wrong)
     payloads = []
     for arm, record in union.arms.items():
         wires = [arm, *[w for w, to in union.aliases.items() if to == arm]]
         if union.tag is None:
-            payload = F.coalesce(*[F.get_json_object(line, path_of(w)) for w in wires])
+            payload = F.coalesce(*[_member_text(line, w, record) for w in wires])
             spec = record
         elif union.content:
-            payload, spec = F.get_json_object(line, path_of(union.content)), record
+            payload, spec = _member_text(line, union.content, record), record
         else:  # the tag lies among the fields
             payload = line
-            spec = RecordSpec((*record.fields, FieldSpec("__tag", name=union.tag)), record.unknown_fields, record.duplicates, record.rename_all)
+            spec = replace(record, fields=(*record.fields, FieldSpec("__tag", name=union.tag)))
         payloads.append(F.when(tag == arm, parse_json_record(payload, spec)).alias(arm))
     other = F.when(tag == "other", line) if union.other else F.lit(None).cast("string")
 
@@ -173,25 +458,51 @@ def _union(line: Column, tag: Column, union: UnionSpec) -> Column:
         for arm in union.arms:
             value = parsed[arm]["value"]
             arms.append((value.dropFields("__tag") if union.tag and not union.content else value).alias(arm))
-            bad = F.when(tag == arm, parsed[arm]["_error"]).otherwise(bad)
+            bad = F.coalesce(wrong, F.when(tag == arm, parsed[arm]["_error"]), bad)
         return F.struct(tag.alias("_tag"), *arms, other.alias("_other"), bad.alias("_error"))
 
     return let(F.struct(*payloads), result)
 
 
+def json_value(c: Column, kind: Any) -> Column:
+    """JSON text of a value of a kind; null is written null, raw text as it stands."""
+    if isinstance(kind, RecordSpec):
+        made = write_json_record(kind, lambda n: c[n])
+    elif isinstance(kind, ListOf):
+        made = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: json_value(x, kind.element)), ","), F.lit("]"))
+    elif isinstance(kind, MapOf):
+        pair = lambda e: F.concat(json_string(e["key"]), F.lit(":"), json_value(e["value"], kind.value))
+        made = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(c), pair), ","), F.lit("}"))
+    elif isinstance(kind, TupleOf):
+        made = F.concat(F.lit("["), F.concat_ws(",", *[json_value(c[f"_{i}"], k) for i, k in enumerate(kind.kinds)]), F.lit("]"))
+    elif kind == "raw":
+        made = c
+    elif kind == "timestamp":
+        made = F.concat(F.lit('"'), F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('Z"'))
+    elif kind == "binary":
+        made = F.concat(F.lit('"'), F.base64(c), F.lit('"'))
+    elif kind in ("string", "date"):
+        made = json_string(c.cast("string"))
+    elif kind in ("float", "double"):
+        made = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    else:
+        made = c.cast("string")
+    return F.when(c.isNull(), "null").otherwise(made)
+
+
 def write_json_record(record: RecordSpec, column: Callable[[str], Column] = F.col) -> Column:
     """The record's fields as a JSON object under the record's names and omission rules."""
-    plain = all(f.omit == "never" and f.kind != "raw" for f in record.fields)
     kept = [f for f in record.fields if not f.skip_encode]
+    plain = all(f.omit == "never" and f.omit_if is None and f.encode is None and isinstance(f.kind, str) and f.kind not in ("raw", "timestamp", "binary") for f in kept)
     if plain:
         return F.to_json(F.struct(*[column(f.field).alias(record.wire_name(f)) for f in kept]), {"ignoreNullFields": "false"})
     parts = []
     for f in kept:
-        c, name = column(f.field), record.wire_name(f)
-        one = F.to_json(F.struct(c.alias(name)), {"ignoreNullFields": "false"})
-        if f.kind == "raw":
-            one = F.concat(F.to_json(F.struct(F.lit("").alias(name))).substr(1, len(name.encode()) + 4), F.coalesce(c, F.lit("null")), F.lit("}"))
-        body = F.substr(one, F.lit(2), F.char_length(one) - 2)
+        own, name = column(f.field), record.wire_name(f)
+        c = f.encode(own) if f.encode else own
+        body = F.concat(json_string(F.lit(name)), F.lit(":"), json_value(c, f.kind))
+        if f.omit_if is not None:
+            body = F.when(~F.coalesce(f.omit_if(own), F.lit(False)), body)
         if f.omit == "null_value":
             body = F.when(c.isNotNull(), body)
         elif f.omit == "default_value":

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docframe.functions import binary, documents, route, scalars, text
 from docframe.operators import keyed_text, lines, records
-from docframe.spec import FieldSpec, RecordSpec, UnionSpec
+from docframe.spec import FieldSpec, ListOf, MapOf, RecordSpec, TupleOf, UnionSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -302,7 +302,80 @@ def q29_offset_times(spark, sf_dir):
 @query("""SELECT event_id, 0 AS ordinal, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 1, 'type', event_type FROM events""")
 def q30_members(spark, sf_dir):
     line = text.with_member(F.col("props"), "type", F.concat(F.lit('"'), F.col("event_type"), F.lit('"')))
-    return table(spark, sf_dir, "events").select("event_id", F.inline(route.members(line)))
+    return table(spark, sf_dir, "events").select("event_id", F.inline(route.members(line))).drop("raw")
+
+
+ORDER = RecordSpec(
+    (
+        FieldSpec("key", "u64"),
+        FieldSpec("buyer", RecordSpec((FieldSpec("name"), FieldSpec("segment", nullable=True)))),
+        FieldSpec("prices", ListOf("double", nullable=True)),
+        FieldSpec("marks", MapOf("int")),
+        FieldSpec("pair", TupleOf(("bigint", "string"))),
+        FieldSpec("at", "timestamp"),
+        FieldSpec("total", "decimal(12,2)"),
+    ),
+    unknown_fields="ignore",
+)
+
+
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'UnexpectedType' WHEN 1 THEN 'MissingField' WHEN 2 THEN 'DuplicateField' END AS code,
+        CASE o_orderkey % 5 WHEN 0 THEN 'marks.b' WHEN 1 THEN 'buyer.name' END AS field,
+        CASE WHEN o_orderkey % 5 > 2 THEN CAST(o_orderkey AS VARCHAR) END AS key, CASE WHEN o_orderkey % 5 > 2 THEN 'Ann "' || o_custkey || '"' END AS buyer,
+        CASE WHEN o_orderkey % 5 > 2 THEN 2 END AS prices, CASE WHEN o_orderkey % 5 > 2 THEN CAST(o_custkey % 1000 AS INTEGER) END AS mark,
+        CASE WHEN o_orderkey % 5 > 2 THEN o_orderpriority END AS second, CASE WHEN o_orderkey % 5 > 2 THEN CAST(floor(epoch(o_orderdate)) AS BIGINT) - 5400 END AS at_seconds,
+        CASE WHEN o_orderkey % 5 > 2 THEN CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) END AS total FROM orders"""
+)
+def q31_nested_records(spark, sf_dir):
+    m = F.col("o_orderkey") % 5
+    buyer = F.when(m == 1, F.lit('{"segment":null}')).otherwise(F.concat(F.lit('{"n\\u0061me":"Ann \\"'), "o_custkey", F.lit('\\"" , "segment":null}')))
+    last = F.when(m == 2, F.lit(',"extra":{"x":[{"y":1,"y":2}]}}')).otherwise(F.lit(',"extra":{"key":"no","x":[1,{"y":null}]} }'))
+    line = F.concat(
+        F.lit('{"extra0":{"key":1},"key":'), "o_orderkey", F.lit('.0,"buyer":'), buyer, F.lit(',"prices":[1.5,null],"marks":{"a":'), F.col("o_custkey") % 1000,
+        F.lit(',"b":'), F.when(m == 0, F.lit('"1"')).otherwise(F.lit("1e1")), F.lit('},"pair":['), "o_custkey", F.lit(',"'), "o_orderpriority",
+        F.lit('"],"at":"'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('+01:30","total":'), F.col("o_totalprice").cast("decimal(12,2)"), last,
+    )
+    p = table(spark, sf_dir, "orders").withColumn("p", records.parse_json_record(line, ORDER)).select("o_orderkey", "p.*")
+    v = lambda n: F.col(f"value.{n}")
+    return p.select(
+        "o_orderkey", F.col("_error.code").alias("code"), F.col("_error.field").alias("field"), v("key").cast("string").alias("key"), v("buyer.name").alias("buyer"),
+        F.when(v("prices").isNotNull(), F.size(v("prices"))).alias("prices"), F.try_element_at(v("marks"), F.lit("a")).alias("mark"), v("pair._1").alias("second"),
+        F.unix_timestamp(v("at")).alias("at_seconds"), v("total").cast("string").alias("total"),
+    )
+
+
+@query(
+    """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'SyntaxError' WHEN 1 THEN 'DuplicateField' WHEN 2 THEN 'UnknownField' WHEN 3 THEN 'InvalidUtf8' WHEN 4 THEN 'SyntaxError' WHEN 6 THEN 'NumberOutOfRange' END AS code,
+        CASE WHEN event_id % 7 = 5 THEN CAST(event_id AS BIGINT) END AS k FROM events"""
+)
+def q32_strict_lines(spark, sf_dir):
+    m, i = F.col("event_id") % 7, F.col("event_id").cast("string")
+    put = lambda head, tail: F.concat(F.lit(head), i, F.lit(tail))
+    line = (
+        F.when(m == 0, put('{"k":', '} {"z":2}')).when(m == 1, put('{"k":', ',"\\u006b":1}')).when(m == 2, put('{"nested":{"k":"x"},"k":', "}")).when(m == 3, put('{"s":"\\ud800","k":', "}"))
+        .when(m == 4, put('{"k":0', "}")).when(m == 5, put('{"\\u006b":', ".0e0}")).otherwise(put('{"k":', ".00000000001}"))
+    )
+    spec = RecordSpec((FieldSpec("k", "bigint"), FieldSpec("s", nullable=True)))
+    e = table(spark, sf_dir, "events").withColumn("p", records.parse_json_record(line, spec))
+    return e.select("event_id", F.col("p._error.code").alias("code"), F.col("p.value.k").alias("k"))
+
+
+@query(
+    """SELECT event_id, 'last' AS first_kind, event_id AS last_n, '{"a" : 1.50, "b":[ 1 ]}' AS kept, 'x' || event_id AS merged_a, event_id AS merged_b, 2 AS merged_list, event_id % 100 AS folded FROM events"""
+)
+def q33_member_policies(spark, sf_dir):
+    i = F.col("event_id").cast("string")
+    twice = F.concat(F.lit('{"n":"last","n":'), i, F.lit("}"))
+    raw = F.concat(F.lit('{"id":'), i, F.lit(', "data": {"a" : 1.50, "b":[ 1 ]} }'))
+    merged = F.concat(F.lit('{"r":{"a":"old","b":'), i, F.lit('},"l":[1,2],"r":{"a":"x'), i, F.lit('"},"l":[9]}'))
+    folded = F.concat(F.lit('{"USER_ID":'), F.col("event_id") % 100, F.lit("}"))
+    read = lambda line, **k: records.parse_json_record(line, RecordSpec(**k))["value"]
+    inner = RecordSpec((FieldSpec("a"), FieldSpec("b", "bigint")))
+    m = read(merged, fields=(FieldSpec("r", inner), FieldSpec("l", ListOf("int"))), duplicates="merge")
+    e = table(spark, sf_dir, "events").select("event_id", m.alias("m"), read(raw, fields=(FieldSpec("id", "bigint"), FieldSpec("data", "raw"))).alias("raw"), read(twice, fields=(FieldSpec("n"),), duplicates="first").alias("f"),
+        read(twice, fields=(FieldSpec("n", "bigint"),), duplicates="last").alias("l"), read(folded, fields=(FieldSpec("user_id", "bigint"),), names="fold").alias("u"))
+    return e.select("event_id", F.col("f.n").alias("first_kind"), F.col("l.n").alias("last_n"), F.col("raw.data").alias("kept"), F.col("m.r.a").alias("merged_a"), F.col("m.r.b").alias("merged_b"), F.element_at("m.l", 2).alias("merged_list"), F.col("u.user_id").alias("folded"))
 
 
 def queries() -> dict[str, Query]:
