@@ -3,12 +3,16 @@
 1. ``quality_rules``: documents that a rule rejects go.
 2. ``line_dedup``: later copies of repeated runs of lines are cut from texts.
 3. ``near_duplicates``: of each component of near-duplicate texts (five-word
-   shingles, similarity 0.8) the document with the least id stays; repeated rows
-   of that id stay as they came.
+   shingles, similarity 0.8) one row stays, that of the least id; among rows of
+   one id and among those without an id, which come last, the first in the table.
 4. ``mask_pii``: personal data and terms that reveal it are masked in texts.
 5. ``pack``: texts are cut and packed into sequences of 1,024 tokens.
 
-All stages but the last return the columns of their input.
+All stages but the last return the columns of their input. Null texts are empty
+and are rejected by the first stage; texts may be of any length; repeated rows are
+copies of one another; an empty table gives an empty table; columns of any other
+name are carried along. Scratch tables of a stage are removed once its result is
+written.
 """
 
 from __future__ import annotations
@@ -20,14 +24,15 @@ from pyspark.sql import functions as F
 
 from docframe.llm import line_dedup as lines
 from docframe.llm import ngram_jaccard, packing, pii, quality_rules
-from docframe.llm.common import Scratch
+from docframe.llm.common import Scratch, free_name
 from docframe.llm.queries import tokenizer_path
 
 
 def _aside(docs: DataFrame, name: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``work`` on ``docs``, whose own column of a name that the work adds is kept out of its way and put back."""
-    done = work(docs.withColumnRenamed(name, f"__own_{name}"))
-    return done.drop(name).withColumnRenamed(f"__own_{name}", name).select(*docs.columns)
+    own = free_name(docs, f"__own_{name}")
+    done = work(docs.withColumnRenamed(name, own))
+    return done.drop(name).withColumnRenamed(own, name).select(*docs.columns)
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +54,14 @@ def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one whose id names the component."""
-    found = ngram_jaccard.near_components(docs, n=5, num=80, den=100)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: ids may repeat or be missing, so rows are told apart by their own number."""
+    scratch = Scratch(spark, "near-duplicates")
+    key = free_name(docs, "row")
+    rows = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.monotonically_increasing_id().alias("number")))
+    rows = scratch.keep(rows, "rows")
+    found = ngram_jaccard.near_components(rows, n=5, num=80, den=100, id_column=key)
+    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(key))
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -91,6 +100,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each stage's result written and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES:
+        mark = len(Scratch.made)
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        Scratch.remove_since(mark, scratch)
+        if last:
+            scratch.drop(last)
+        last = name
     return docs

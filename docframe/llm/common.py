@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.operators.records import let
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by ``spark.checkpoint.dir``; an error where that is unset."""
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
+
+    Where it is unset a local session, all on one machine, gets a folder of its own;
+    on a cluster that is an error.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return named.rstrip("/")
+    return f"file://{tempfile.gettempdir()}/docframe-scratch"
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -77,34 +81,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Elements that one fold goes over; folds copy what they carry, so a long array is folded in pieces.
-FOLD = 256
-
-
-def _prefix(values: Column, start: Column, op: Callable[[Column, Column], Column]) -> Column:
-    kind = "struct<at:bigint,out:array<bigint>>"
-    first = F.struct(start.alias("at"), F.array().alias("out")).cast(kind)
-    return F.aggregate(values, first, lambda a, x: F.struct(op(a["at"], x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
-
-
-def running(values: Column, op: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
-    """For each long of an array ``op`` of all before it, 0 for the first; ``op`` is associative with 0 neutral.
-
-    Pieces of ``FOLD`` elements are folded apart, from bases that a fold over whole pieces gives.
-    """
-    zero = F.lit(0).cast("bigint")
-
-    def cut(v: Column) -> Column:
-        last = F.floor((F.size(v) - 1) / FOLD).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * FOLD + 1, F.lit(FOLD)))
-
-    def run(pieces: Column) -> Column:
-        bases = _prefix(F.transform(pieces, lambda p: F.aggregate(p, zero, lambda a, x: op(a, x))), zero, op)
-        return let(bases, lambda b: F.flatten(F.transform(pieces, lambda p, k: _prefix(p, F.get(b, k), op))))
-
-    return let(values, lambda v: F.when(F.size(v) > FOLD, let(cut(v), run)).otherwise(_prefix(v, zero, op)))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -35,8 +35,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docframe.llm.common import Scratch, free_name, running, text_of
-from docframe.operators.records import let
+from docframe.functions.arrays import let, running
+from docframe.llm.common import Scratch, free_name, text_of
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Kinds in their order, each with its pattern and a test for texts that may hold it.

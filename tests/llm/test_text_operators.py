@@ -254,7 +254,7 @@ def test_very_many_matches_in_a_text(spark):
 def test_running_folds_equal_a_loop(spark):
     from itertools import accumulate
 
-    from docframe.llm.common import running
+    from docframe.functions.arrays import running
 
     rng = random.Random(1)
     for n in (0, 1, 255, 256, 257, 1000):
