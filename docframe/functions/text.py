@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,10 +64,12 @@ def csv_line(*columns: Column, delimiter: str = ",") -> Column:
     return F.concat(*parts)
 
 
-def csv_fields(line: Column) -> Column:
-    """The fields of one well-formed CSV line, null for an empty unquoted one; null for a malformed line."""
-    ok = F.regexp_like(line, F.lit(r'^(?:"(?:[^"]|"")*+"|[^",\r\n]*+)(?:,(?:"(?:[^"]|"")*+"|[^",\r\n]*+))*+$'))
-    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*+"|[^",\r\n]*+)'), F.lit(1))
+def csv_fields(line: Column, delimiter: str = ",") -> Column:
+    """The fields of one well-formed CSV row, null for an empty unquoted one; null for a malformed row."""
+    cut = re.escape(delimiter)
+    field = rf'"[^"]*+(?:""[^"]*+)*+"|[^"{cut}\r\n]*+'
+    ok = F.regexp_like(line, F.lit(rf"^(?:{field})(?:{cut}(?:{field}))*+$"))
+    raw = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(rf"{cut}({field})"), F.lit(1))
     plain = F.transform(raw, lambda x: F.when(x == "", None).when(F.startswith(x, F.lit('"')), F.replace(F.substr(x, F.lit(2), F.char_length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
     return F.when(ok, plain)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +24,20 @@ def write_json_lines(df: DataFrame, path: str, record: Column, separator: bool =
     df.select(line_text(record, separator, max_line_bytes).alias("value")).write.mode(mode).option("lineSep", "\n").text(path)
 
 
-def write_csv(df: DataFrame, path: str, delimiter: str = ",", mode: str = "errorifexists") -> None:
-    """CSV files with a header line each, CRLF line ends, quotes only where needed and around empty text."""
-    header = delimiter.join(c if c else '""' for c in df.columns)
-    line = csv_line(*[F.col(f"`{c}`") for c in df.columns], delimiter=delimiter)
-    df.select(line.alias(header)).write.mode(mode).options(header=True, quote="", escape="", quoteAll=False, emptyValue="", lineSep="\r\n", sep="\u0001").csv(path)
+def write_csv(df: DataFrame, path: str, delimiter: str = ",", mode: str = "errorifexists", header: bool = True) -> None:
+    """CSV files with a header row each, CRLF line ends, quotes only where needed and around empty text."""
+    names = df.columns
+    line = csv_line(*[F.col(f"`{c}`") for c in names], delimiter=delimiter).alias("value")
+    first = csv_line(*map(F.lit, names), delimiter=delimiter).alias("value")
+    head = df.sparkSession.range(1).select(first).first()[0]
+
+    def with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([head], pa.string())], ["value"])
+        yield from batches
+
+    lines = df.select(line)
+    lines = lines.mapInArrow(with_header, "value string") if header else lines
+    lines.write.mode(mode).option("lineSep", "\r\n").text(path)
 
 
 __all__ = ["csv_field", "line_text", "write_csv", "write_json_lines"]

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from docframe.functions import binary, route, text
 from docframe.operators import keyed_text, lines, sinks
+from docframe.sources import csv
 from docframe.sources import lines as sources
+from docframe.spec import FieldSpec, RecordSpec
 
 
 def one(spark, value, f, kind="string"):
@@ -132,10 +134,69 @@ def test_json_lines_and_csv_writers(spark, tmp_path):
         sinks.write_json_lines(df, str(tmp_path / "b"), F.col("v"), max_line_bytes=2)
 
 
-def test_csv_binds_by_header(spark, tmp_path):
-    (tmp_path / "t.csv").write_text('note,celsius,station\r\n"",1.5,a\r\n,01,b\r\n')
-    got = sources.read_csv(spark, str(tmp_path / "t.csv"), {"station": "string", "celsius": "double", "note": "string"}).orderBy("station").collect()
-    assert [(r["station"], r["celsius"]) for r in got] == [("a", 1.5), ("b", None)]
+READING = RecordSpec((FieldSpec("station"), FieldSpec("celsius", "double", aliases=("t",)), FieldSpec("note", nullable=True), FieldSpec("n", "bigint", default=7)))
+
+
+def test_csv_by_the_rules(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'\xef\xbb\xbfnote,celsius,station\r\n"",1.5,a\r\n,01,b\r\n"l1\r\nl2 ""q""",2,c\r\n\r\nx,3,d,e\r\ny,4\r\n,5,z"z\r\n')
+    (tmp_path / "b.csv").write_text("station,t,n\ne,1e1,9223372036854775807\nf,2,9223372036854775808\ng,3,12.5\n,4,1.0\n")
+    (tmp_path / "c.csv").write_text("station,t,wrong\nh,1,2\n")
+    for size in ("1000", "40"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            good, bad = csv.read_csv(spark, str(tmp_path), READING)
+            rows, refused = good.collect(), bad.collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted(map(tuple, rows)) == [("", 4.0, None, 1), ("a", 1.5, "", 7), ("c", 2.0, 'l1\r\nl2 "q"', 7), ("e", 10.0, None, 2**63 - 1)]
+        found = sorted((r["path"][-5:], r["row"], r["line"], r["code"], r["field"]) for r in refused)
+        assert found == [
+            ("a.csv", 2, 3, "UnexpectedType", "celsius"), ("a.csv", 4, 7, "SyntaxError", None), ("a.csv", 5, 8, "SyntaxError", None), ("a.csv", 6, 9, "SyntaxError", None),
+            ("b.csv", 2, 3, "NumberOutOfRange", "n"), ("b.csv", 3, 4, "NumberOutOfRange", "n"), ("c.csv", 1, 2, "UnknownField", "wrong"),
+        ]
+    good, bad = csv.read_csv(spark, str(tmp_path / "b.csv"), RecordSpec((FieldSpec("a"), FieldSpec("b"), FieldSpec("c"))), header=False)
+    assert good.count() == 5 and bad.count() == 0
+
+
+def test_csv_round_trip_of_files(spark, tmp_path):
+    rows = [("a\nb", 1), ('x,"y"', 2**63 - 1), ("", -5), (None, 0), ("\r", 3), ("z;é", None)]
+    df = spark.createDataFrame(rows, "`k;1` string, v long")
+    for delimiter in (",", ";", "\t"):
+        path = str(tmp_path / f"d{ord(delimiter)}")
+        sinks.write_csv(df, path, delimiter)
+        assert not any(b"\0" in p.read_bytes() for p in (tmp_path / f"d{ord(delimiter)}").glob("part*"))
+        spec = RecordSpec((FieldSpec("k", name="k;1", nullable=True), FieldSpec("v", "bigint", nullable=True)))
+        good, bad = csv.read_csv(spark, path, spec, delimiter)
+        assert bad.count() == 0 and sorted(map(repr, map(tuple, good.collect()))) == sorted(map(repr, rows))
+
+
+def test_records_of_files(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    p = tmp_path / "a.jsonl"
+    p.write_text('{"a":1}\r\n\n{"b":2}\n{"c":\x01}\n{"half"')
+    seen = Observation()
+    good, bad = sources.read_records(spark, str(p), lines.Framing(require_terminator=True), counter=seen)
+    # a sort would run the plan twice, and the counter with it
+    assert sorted((r["number"], r["record"], r["offset"]) for r in good.collect()) == [(1, '{"a":1}', 0), (3, '{"b":2}', 10)]
+    assert seen.get["skipped"] == 1
+    assert [(r["number"], r["fault"]) for r in bad.collect()] == [(4, "ControlByte")]
+    good, _ = sources.read_records(spark, str(p), start_offset=10)
+    assert [(r["record"], r["number"]) for r in good.orderBy("number").collect()] == [('{"b":2}', 3), ('{"half"', 5)]
+    with pytest.raises(Exception, match="ControlByte at line 4"):
+        sources.read_records(spark, str(p), on_malformed="fail")[0].collect()
+
+
+def test_pretty_records_of_files(spark, tmp_path):
+    p = tmp_path / "a.json"
+    p.write_text('{\n "a": "}]",\n "b": [1,\n 2]\n}\n{"c":1}\n{"open": [\n\n{\n"d":2}\n7\n')
+    for size in ("1000", "12"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = sources.read_records(spark, str(p), pretty=True)[0].orderBy("number").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [(r["record"], r["number"]) for r in got] == [('{\n "a": "}]",\n "b": [1,\n 2]\n}', 1), ('{"c":1}', 6), ('{"open": [', 7), ('{\n"d":2}', 9), ("7", 11)]
 
 
 @pytest.mark.parametrize("n,head", [(0, "80"), (15, "8F"), (16, "DE0010"), (300, "DE012C")])
