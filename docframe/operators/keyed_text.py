@@ -52,14 +52,17 @@ def boolean_word(text: Column) -> Column:
 
 
 _NAME = r"(?:'[^']+'|[^=#\s']+)"
-_DOUBLE, _SINGLE = r'"(?:[^"\\]|\\.)*+"', r"'(?:[^'\\]|\\.)*+'"
-_BINDING = rf"(?ms)^[ \t]*(?:export[ \t]+)?({_NAME})(?:[ \t]*=[ \t]*({_DOUBLE}|{_SINGLE}|[^\r\n]*+))?[^\r\n]*$"
+_DOUBLE, _SINGLE = r'"(?:[^"\\]|\\(?s:.))*+"', r"'(?:[^'\\]|\\(?s:.))*+'"
+#: The escapes of a double-quoted value, besides those of the quotes and the backslash.
+ESCAPES = {"a": "\x07", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\x0b"}
+_BINDING = rf"(?m)^[ \t]*(?:export[ \t]+)?({_NAME})(?:[ \t]*=[ \t]*({_DOUBLE}|{_SINGLE}|(?![\"'])[^\r\n]*+))?[ \t]*(?:#[^\r\n]*)?\r?$"
 
 
 def dotenv_entries(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, position, name, value (null for a name alone) and error of .env texts, without expansion.
 
     Quoted values may run across lines; an unquoted one ends at white space before a #.
+    A line that is no binding, comment or blank is an entry without a name and with SyntaxError.
     """
     clean = F.regexp_replace(F.regexp_replace(F.col(text), "^﻿", ""), r"(?m)^[ \t]*#.*$", "")
     found = F.regexp_extract_all(clean, F.lit(_BINDING), F.lit(0))
@@ -71,19 +74,25 @@ def dotenv_entries(texts: DataFrame, key: str, text: str) -> DataFrame:
     body = F.regexp_replace(F.substr(raw, F.lit(2), F.char_length(raw) - 2), "\r\n?", "\n")
     single = F.regexp_replace(body, r"\\([\\'])", "$1")
     double = body
-    for code, out in (("n", "\n"), ("r", "\r"), ("t", "\t")):
+    for code, out in ESCAPES.items():
         double = F.regexp_replace(double, rf"(?<!\\)((?:\\\\)*)\\{code}", "$1" + out)
     double = F.regexp_replace(double, r"\\([\\'\"])", "$1")
     value = F.when(F.startswith(raw, F.lit('"')), double).when(F.startswith(raw, F.lit("'")), single).otherwise(plain)
     out = rows.select(key, "position", name.alias("name"), F.when(bound, value).alias("value"))
     again = F.count("*").over(Window.partitionBy(key, "name")) > 1
-    return out.withColumn("error", F.when(again, "DuplicateField"))
+    out = out.withColumn("error", F.when(again, "DuplicateField"))
+    rest = F.filter(F.split(F.regexp_replace(clean, _BINDING, ""), r"[\r\n]+"), lambda x: F.regexp_like(x, F.lit(r"[^ \t]")))
+    bad = texts.select(key, F.explode(rest)).select(key, F.lit(None).cast("int").alias("position"), *[F.lit(None).cast("string").alias(n) for n in ("name", "value")], F.lit("SyntaxError").alias("error"))
+    return out.unionByName(bad)
 
 
 def dotenv_line(name: Column, value: Column) -> Column:
     """One .env binding: bare where the value is plain, quoted where it is not; null is the name alone."""
     plain = F.regexp_like(value, F.lit(r"^[A-Za-z0-9_./:@%+,-]+$"))
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
+    body = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for code, raw in ESCAPES.items():
+        body = F.replace(body, F.lit(raw), F.lit("\\" + code))
+    quoted = F.concat(F.lit('"'), body, F.lit('"'))
     return F.when(value.isNull(), name).otherwise(F.concat(name, F.lit("="), F.when(plain | (value == ""), value).otherwise(quoted)))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.functions.arrays import let
-from docframe.functions.route import int_of, path_of, raw_member, split_members, tag_of, valid_object, whole_of
+from docframe.functions.route import path_of, raw_member, split_members, tag_of, valid_object, whole_of
 from docframe.functions.scalars import rfc3339
 from docframe.functions.text import json_string
 from docframe.spec import INTEGERS, MISSING, POLICIES, FieldSpec, ListOf, MapOf, RecordSpec, TupleOf, UnionSpec, holds_raw, type_of
@@ -526,8 +526,12 @@ def parse_versioned(
     A migration maps an older version's record (a struct column) to the current one's fields.
     """
     keys = F.json_object_keys(line)
-    version = F.coalesce(int_of(F.get_json_object(line, "$.v")), F.when(~F.array_contains(keys, "v"), F.lit(unstamped).cast("bigint")))
-    source = F.struct(keys.alias("keys"), version.alias("version"), F.get_json_object(line, "$.data").alias("data"))
+    # one object and nothing behind it, with the version as a number
+    held = F.from_json(F.concat(F.lit("["), line, F.lit(",{}]")), "array<struct<v:variant>>", {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
+    stamp = let(held, lambda h: F.when(F.size(h) == 2, F.get(h, F.lit(0))["v"]))
+    stamp = let(stamp, lambda v: F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "bigint")))
+    version = F.coalesce(stamp, F.when(~F.array_contains(keys, "v"), F.lit(unstamped).cast("bigint")))
+    source = F.struct(F.when(F.size(held) == 2, keys).alias("keys"), version.alias("version"), _member_text(line, "data", record).alias("data"))
     shape = "struct<" + ",".join(f"`{f.field}`:{f.spark_type}" for f in record.fields) + ">"
 
     def read(s: Column) -> Column:

@@ -378,6 +378,66 @@ def q33_member_policies(spark, sf_dir):
     return e.select("event_id", F.col("f.n").alias("first_kind"), F.col("l.n").alias("last_n"), F.col("raw.data").alias("kept"), F.col("m.r.a").alias("merged_a"), F.col("m.r.b").alias("merged_b"), F.element_at("m.l", 2).alias("merged_list"), F.col("u.user_id").alias("folded"))
 
 
+@query(
+    """SELECT c_custkey, c_custkey || ',' || CASE c_custkey % 5 WHEN 0 THEN '""' WHEN 1 THEN '' WHEN 2 THEN '"a"",' || chr(10) || c_name || '"' WHEN 3 THEN '"' || chr(13) || '"' ELSE c_name END AS line FROM customer"""
+)
+def q34_csv_lines(spark, sf_dir):
+    m = F.col("c_custkey") % 5
+    value = F.when(m == 0, "").when(m == 2, F.concat(F.lit('a",\n'), "c_name")).when(m == 3, "\r").when(m == 4, F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.csv_line(F.col("c_custkey"), value).alias("line"))
+
+
+_SEGMENT = "CASE WHEN c_custkey % 3 > 0 THEN printf('%02X', {0} + length(c_mktsegment)) || hex(c_mktsegment) ELSE '{1}' END"
+
+
+@query(
+    f"""SELECT c_custkey, 'A3646E616D65' || printf('%02X', 96 + length(c_name)) || hex(c_name) || '666E6174696F6E' || CASE WHEN c_nationkey < 24 THEN printf('%02X', c_nationkey) ELSE '18' || printf('%02X', c_nationkey) END
+        || '677365676D656E74' || {_SEGMENT.format(96, "F6")} AS cbor,
+        '83A46E616D65' || printf('%02X', 160 + length(c_name)) || hex(c_name) || 'A66E6174696F6E' || printf('%02X', c_nationkey) || 'A77365676D656E74' || {_SEGMENT.format(160, "C0")} AS msgpack FROM customer"""
+)
+def q35_binary_bytes(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("segment", F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")))
+    member = lambda put, n: (F.col(n).isNull(), put(F.col(n)))
+    coded = lambda whole, put_text, put_int: F.hex(whole({"segment": member(put_text, "segment"), "nation": member(put_int, "c_nationkey"), "name": member(put_text, "c_name")}))
+    return c.select("c_custkey", coded(binary.cbor_map, binary.cbor_text, binary.cbor_int).alias("cbor"), coded(binary.msgpack_map, binary.msgpack_text, binary.msgpack_int).alias("msgpack"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'DuplicateField' WHEN 1 THEN 'UnknownField' WHEN 2 THEN 'MissingField' WHEN 3 THEN 'UnexpectedType' END AS code,
+        CASE WHEN event_id % 6 > 3 THEN event_id % 6 = 4 END AS migrated, CASE WHEN event_id % 6 = 4 THEN '0:' || event_id WHEN event_id % 6 = 5 THEN CAST(event_id AS VARCHAR) END AS name,
+        CASE WHEN event_id % 6 = 4 THEN '{"v":2,"data":{"name":"0:' || event_id || '"}}' WHEN event_id % 6 = 5 THEN '{"v":2,"data":{"name":"' || event_id || '"}}' END AS rewritten FROM events"""
+)
+def q36_version_envelopes(spark, sf_dir):
+    m, i = F.col("event_id") % 6, F.col("event_id").cast("string")
+    now, old = RecordSpec((FieldSpec("name"),)), RecordSpec((FieldSpec("id", "bigint"),))
+    put = lambda head, tail: F.concat(F.lit(head), i, F.lit(tail))
+    line = (
+        F.when(m == 0, put('{"v":2,"v":2,"data":{"name":"', '"}}')).when(m == 1, put('{"v":2,"data":{"name":"', '"},"more":1}')).when(m == 2, F.lit('{"v":2}'))
+        .when(m == 3, put('{"v":"2","data":{"name":"', '"}}')).when(m == 4, put('{"data":{"id":', "}}")).otherwise(put('{ "data" : {"name":"', '"}, "v" : 2 }'))
+    )
+    p = table(spark, sf_dir, "events").withColumn("p", records.parse_versioned(line, 2, now, {0: (old, lambda v: F.struct(F.concat(F.lit("0:"), v["id"].cast("string")).alias("name")))}))
+    good = F.col("p._error").isNull()
+    return p.select(
+        "event_id", F.col("p._error.code").alias("code"), F.when(good, F.col("p.migrated")).alias("migrated"), F.col("p.value.name").alias("name"),
+        F.when(good, records.write_versioned(2, now, lambda n: F.col(f"p.value.{n}"))).alias("rewritten"),
+    )
+
+
+@query(
+    """SELECT s_suppkey, '{"Key":' || s_suppkey || ',"place":{"nation":' || s_nationkey || CASE WHEN s_suppkey % 2 = 0 THEN ',"note":"a\\"b"' ELSE '' END || '},"tags":["' || s_name || '",null],"by":{"' || s_name || '":' || s_nationkey || '},"pair":[' || s_suppkey || ',"x"],"raw":{"k" : 1.50}'
+        || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE ',"level":' || (s_suppkey % 3) END || '}' AS line FROM supplier"""
+)
+def q37_written_records(spark, sf_dir):
+    place = RecordSpec((FieldSpec("nation", "int"), FieldSpec("note", nullable=True, omit="null_value")))
+    fields = (FieldSpec("key", "bigint", name="Key"), FieldSpec("place", place), FieldSpec("tags", ListOf("string", nullable=True)), FieldSpec("by", MapOf("int")), FieldSpec("pair", TupleOf(("bigint", "string"))), FieldSpec("raw", "raw"), FieldSpec("level", "int", default=0, omit="default_value"))
+    s = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.col("s_suppkey").alias("key"), F.struct(F.col("s_nationkey").alias("nation"), F.when(F.col("s_suppkey") % 2 == 0, 'a"b').alias("note")).alias("place"),
+        F.array(F.col("s_name"), F.lit(None)).alias("tags"), F.create_map("s_name", "s_nationkey").alias("by"), F.struct(F.col("s_suppkey").alias("_0"), F.lit("x").alias("_1")).alias("pair"),
+        F.lit('{"k" : 1.50}').alias("raw"), (F.col("s_suppkey") % 3).cast("int").alias("level"),
+    )
+    return s.select("s_suppkey", records.write_json_record(RecordSpec(fields)).alias("line"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

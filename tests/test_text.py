@@ -118,6 +118,20 @@ def test_dotenv(spark):
     assert [(r["name"], r["value"]) for r in got] == [("A", "1"), ("B", "it's"), ("C", 'l1\nl2\t"q"'), ("D", ""), ("E", None), ("F", "#v")]
 
 
+def test_dotenv_refuses_what_is_no_binding(spark):
+    body = 'A=1\nno binding here\nB="x" junk\nC="open\n  \n# fine\nD=\'y\' # ok\r\n=z\n'
+    got = keyed_text.dotenv_entries(spark.createDataFrame([(1, body)], "k int, t string"), "k", "t").collect()
+    assert {r["name"]: r["value"] for r in got if r["error"] is None} == {"A": "1", "D": "y"}
+    assert sum(r["error"] == "SyntaxError" for r in got) == 4
+
+
+def test_dotenv_values_read_back(spark):
+    values = ["plain", "", "a b#c", 'q"\'\\', "".join(keyed_text.ESCAPES.values()), "\\n", "é"]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, v string").select("k", "v", keyed_text.dotenv_line(F.lit("X"), F.col("v")).alias("t"))
+    got = {r["k"]: r["value"] for r in keyed_text.dotenv_entries(df, "k", "t").collect()}
+    assert got == dict(enumerate(values))
+
+
 @pytest.mark.parametrize("n,cbor,msgpack", [(0, "00", "00"), (24, "1818", "18"), (-1, "20", "FF"), (-33, "3820", "D0DF"), (65536, "1A00010000", "CE00010000"), (-(2**40), "3B000000FFFFFFFFFF", "D3FFFFFF0000000000"), (300, "19012C", "CD012C")])
 def test_binary_integers(spark, n, cbor, msgpack):
     assert one(spark, n, lambda c: F.hex(binary.cbor_int(c)), "bigint") == cbor
