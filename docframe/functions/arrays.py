@@ -38,3 +38,19 @@ def running(values: Column, op: Callable[[Column, Column], Column] = lambda a, b
         return let(bases, lambda b: F.flatten(F.transform(pieces, lambda p, k: _prefix(p, F.get(b, k), op))))
 
     return let(values, lambda v: F.when(F.size(v) > FOLD, let(cut(v), run)).otherwise(_prefix(v, zero, op)))
+
+
+#: Characters of a piece of a text; a cut never reads the text from its start.
+PIECE = 1024
+
+
+def text_pieces(text: Column) -> Column:
+    """A text in pieces of ``PIECE`` characters, to cut from many times."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end`` (characters, exclusive) out of its pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    held = F.array_join(F.slice(pieces, first + 1, F.floor((end - 1) / PIECE).cast("int") - first + 1), "")
+    return F.when(start >= end, "").otherwise(F.substr(held, (start % PIECE + 1).cast("int"), (end - start).cast("int")))
