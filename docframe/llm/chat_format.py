@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docframe.functions.arrays import cut, let, running, text_pieces
+
 OPEN, CLOSE, AND, END = "<|", "|>", "<|and|>", "<|end|>"
 
 
@@ -94,21 +96,13 @@ def format_chat(rows: DataFrame, template: ChatTemplate = ChatTemplate()) -> Dat
             ),
         )
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["before"]
-        span = F.struct(begin.alias("start"), (begin + p["length"]).alias("end"))
-        return F.struct(
-            (begin + p["length"] + p["after"]).alias("at"),
-            F.when(p["loss"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
+    def spans(p: Column) -> Column:
+        at = running(F.transform(p, lambda x: (x["before"] + x["length"] + x["after"]).cast("long")))
+        begin = lambda at, x, i: F.get(at, i) + x["before"]
+        held = let(at, lambda at: F.transform(p, lambda x, i: F.struct(x["loss"], begin(at, x, i).alias("start"), (begin(at, x, i) + x["length"]).alias("end"))))
+        return F.transform(F.filter(held, lambda x: x["loss"]), lambda x: F.struct(x["start"], x["end"]))
 
-    return blocks.select(
-        "conv_id",
-        F.array_join(written, "").alias("formatted"),
-        F.aggregate(pieces, start, step, lambda a: a["spans"]).alias("loss_spans"),
-    )
+    return blocks.select("conv_id", F.array_join(written, "").alias("formatted"), let(pieces, spans).alias("loss_spans"))
 
 
 def read_chat(formatted: Column) -> Column:
@@ -126,5 +120,5 @@ def read_chat(formatted: Column) -> Column:
 
 def loss_text(formatted: Column, spans: Column) -> Column:
     """The text under the loss mask, unescaped, nothing between its parts."""
-    part = lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
-    return F.array_join(F.transform(spans, part), "")
+    part = lambda pieces: lambda s: unescape(cut(pieces, s["start"], s["end"]))
+    return let(text_pieces(formatted), lambda pieces: F.array_join(F.transform(spans, part(pieces)), ""))

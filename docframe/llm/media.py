@@ -14,7 +14,9 @@ dimensions, a difference hash of the thumbnail and the payload.
 Defined results: null reads as empty, which pads to one unit; equal payloads
 give equal files; a payload too large for one frame (65,535 pixels a side) is
 kept as several files one after another; media that is null or no baseline JPEG
-has null features and its reason in ``error``.
+has null features and its reason in ``error``; repeated rows stay and are coded
+alike; an empty table gives an empty table; ``encode_media`` ignores further columns,
+``media_features`` keeps them, save those that have the name of a feature.
 """
 
 from __future__ import annotations
@@ -402,9 +404,9 @@ def _features(value: bytes, files: list[tuple[Image, np.ndarray]] | str) -> dict
 
 def media_features(media: DataFrame, column: str = "media") -> DataFrame:
     """``media`` without its media column and with what the stored bytes say."""
-    others = [c for c in media.columns if c != column]
-    kinds = [f"`{c}` {media.schema[c].dataType.simpleString()}" for c in others]
     fields = [p.split()[0] for p in FEATURES.split(", ")]
+    others = [c for c in media.columns if c != column and c not in fields]
+    kinds = [f"`{c}` {media.schema[c].dataType.simpleString()}" for c in others]
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}

@@ -35,7 +35,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docframe.functions.arrays import let, running
+from docframe.functions.arrays import cut, let, running, text_pieces
 from docframe.llm.common import Scratch, free_name, text_of
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -260,34 +260,21 @@ def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == number))
 
 
-#: Characters of a piece that masking cuts from; a cut never reads the text from its start.
-PIECE = 1024
-
-
-def _cut(pieces: Column, start: Column, end: Column) -> Column:
-    """The text from ``start`` to ``end`` out of its pieces."""
-    first = F.floor(start / PIECE).cast("int")
-    held = F.array_join(F.slice(pieces, first + 1, F.floor((end - 1) / PIECE).cast("int") - first + 1), "")
-    return F.when(start >= end, "").otherwise(F.substr(held, (start % PIECE + 1).cast("int"), (end - start).cast("int")))
-
-
 def mask_spans(text: Column, spans: Column) -> Column:
     """The text with spans, sorted by start, masked; overlapping spans become one, named after the first."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
-
     def bound(spans: Column) -> Column:
         reach = running(F.transform(spans, lambda s: s["end"].cast("bigint")), F.greatest)
         last = F.array_max(F.transform(spans, lambda s: s["end"])).cast("bigint")
-        return F.struct(spans.alias("spans"), pieces.alias("pieces"), reach.alias("reach"), last.alias("last"), F.char_length(text).cast("bigint").alias("size"))
+        return F.struct(spans.alias("spans"), text_pieces(text).alias("pieces"), reach.alias("reach"), last.alias("last"), F.char_length(text).cast("bigint").alias("size"))
 
     def mask(p: Column) -> Column:
         def part(s: Column, i: Column) -> Column:
             name = F.when(s["value"].eqNullSafe(F.lit("remove")) & ~is_base(s), "").otherwise(F.get(names, s["kind"]))
             before = F.get(p["reach"], i)
-            return F.when(s["start"] >= before, F.concat(_cut(p["pieces"], before, s["start"]), name)).otherwise("")
+            return F.when(s["start"] >= before, F.concat(cut(p["pieces"], before, s["start"]), name)).otherwise("")
 
-        return F.concat(F.array_join(F.transform(p["spans"], part), ""), _cut(p["pieces"], p["last"], p["size"]))
+        return F.concat(F.array_join(F.transform(p["spans"], part), ""), cut(p["pieces"], p["last"], p["size"]))
 
     return F.when(F.size(spans) > 0, let(let(spans, bound), mask)).otherwise(text)
 

@@ -56,7 +56,8 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
+    turn = F.col("id")
+    own = spark.range(2).select(F.lit(-7).cast("long"), turn, F.when(turn == 0, "user").otherwise("assistant"), F.lit(hard))
     done = chat_format.format_chat(rows.unionAll(own))
     turns = chat_format.read_chat(F.col("formatted"))
     done = done.withColumn("turns", turns).withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans")))

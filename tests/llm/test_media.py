@@ -80,3 +80,12 @@ def test_colour_with_subsampling_and_ac_coefficients():
     assert (image.width, image.height, light.shape) == (32, 16, (2, 4))
     q = lambda v: min(255, max(0, (v * 4 + 4) // 8 + 128))
     assert light.tolist() == [[q(10), q(-20), q(5), q(5)], [q(30), q(0), q(-60), q(100)]]
+
+
+def test_features_keep_other_columns_and_give_way_by_name(spark):
+    df = spark.createDataFrame([(1, "text", "own", 7), (1, "text", "own", 7), (None, None, None, None)], "doc_id long, text string, feature string, extra int")
+    held = media.encode_media(df)
+    assert media.media_features(held.limit(0)).count() == 0
+    wide = held.join(df.select("doc_id", "feature", "extra").distinct(), "doc_id")
+    got = media.media_features(wide).collect()
+    assert len(got) == 2 and all(r["extra"] == 7 and r["feature"] != "own" for r in got)

@@ -41,6 +41,14 @@ def test_chat_reads_back(spark):
     assert chat_format.format_chat(df.limit(0)).count() == 0
 
 
+def test_a_conversation_of_very_many_turns(spark):
+    n = 20_000
+    rows = [(1, t, "user" if t % 2 else "assistant", f"turn {t} <|end|> é") for t in range(n)]
+    made = chat_format.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    r = made.select(F.size("loss_spans").alias("n"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert r["n"] == n // 2 and r["loss"] == "".join(x[3] for x in rows if x[2] == "assistant")
+
+
 # --- line dedup ---
 
 
