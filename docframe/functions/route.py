@@ -33,6 +33,13 @@ def unescaped(token: Column) -> Column:
     return F.when(F.contains(token, F.lit("\\")), F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]")).otherwise(plain)
 
 
+def _stepped(text: Column) -> Column:
+    """struct of the tokens of a JSON text and the number of brackets open before each."""
+    step = lambda t: F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0).cast("bigint")
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    return let(tokens, lambda t: F.struct(t.alias("tokens"), running(F.transform(t, step)).alias("depth")))
+
+
 def split_members(text: Column) -> Column:
     """Array of name and raw of an object's members, or of the raw elements of an array (name null), byte for byte and in order.
 
@@ -40,10 +47,6 @@ def split_members(text: Column) -> Column:
     running depth tells the commas of the outermost level. The text must be valid JSON.
     """
 
-    def depths(tokens: Column) -> Column:
-        step = lambda t: F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0).cast("bigint")
-        return F.struct(tokens.alias("tokens"), running(F.transform(tokens, step)).alias("depth"))
-
     def cuts(s: Column) -> Column:
         t, d = s["tokens"], s["depth"]
         edge = lambda k: ((F.get(t, k) == ",") & (F.get(d, k) == 1)) | (F.get(t, k).isin("{", "[") & (F.get(d, k) == 0)) | (F.get(t, k).isin("}", "]") & (F.get(d, k) == 1))
@@ -60,8 +63,50 @@ def split_members(text: Column) -> Column:
         raw = F.when(key != "", F.regexp_extract(x, _MEMBER, 2)).otherwise(F.regexp_replace(x, r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
         return F.struct(F.when(key != "", unescaped(key)).alias("name"), raw.alias("raw"))
 
-    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    return let(let(let(tokens, depths), cuts), lambda s: F.transform(parts(s), member))
+    return let(let(_stepped(text), cuts), lambda s: F.transform(parts(s), member))
+
+
+def prefix_value(text: Column) -> Column:
+    """struct<value, end> of the JSON value that a text starts with, and the bytes up to its end; null where there is none.
+
+    What follows the value is not looked at.
+    """
+    scalar = F.regexp_extract(text, rf"^[ \t\r\n]*({_STRING}|-?[0-9][0-9.eE+-]*|true|false|null)", 0)
+
+    def nested(s: Column) -> Column:
+        closes = lambda k: (F.get(s["depth"], k) == 1) & F.get(s["tokens"], k).isin("}", "]")
+        last = F.get(F.filter(F.sequence(F.lit(0), F.size(s["tokens"]) - 1), closes), F.lit(0))
+        return F.array_join(F.slice(s["tokens"], 1, last + 1), "")
+
+    open_ = F.regexp_like(text, F.lit(r"^[ \t\r\n]*[{\[]"))
+    found = F.when(open_, let(_stepped(text), nested)).otherwise(scalar)
+    bare = lambda v: F.regexp_replace(v, r"^[ \t\r\n]+", "")
+    return let(found, lambda v: F.when(F.try_parse_json(v).isNotNull(), F.struct(bare(v).alias("value"), F.octet_length(v).alias("end"))))
+
+
+def indented(text: Column, unit: str = "  ") -> Column:
+    """A valid JSON text laid out over lines, ``unit`` for each level; empty brackets stay together, members keep their order and spelling."""
+
+    def layout(s: Column) -> Column:
+        t, depth = s["tokens"], s["depth"]
+        margin = lambda n: F.concat(F.lit("\n"), F.repeat(F.lit(unit), n.cast("int")))
+        bare = lambda x: F.when(F.startswith(x, F.lit('"')), x).otherwise(F.regexp_replace(x, "^:", ": "))
+
+        def put(x: Column, k: Column) -> Column:
+            d, before, behind = F.get(depth, k), F.get(t, k - 1), F.get(t, k + 1)
+            return (
+                F.when(x.isin("{", "["), F.when(F.coalesce(behind.isin("}", "]"), F.lit(False)), x).otherwise(F.concat(x, margin(d + 1))))
+                .when(x.isin("}", "]"), F.when(before.isin("{", "["), x).otherwise(F.concat(margin(d - 1), x)))
+                .when(x == ",", F.concat(x, margin(d)))
+                .otherwise(bare(x))
+            )
+
+        return F.array_join(F.transform(t, put), "")
+
+    # white space around tokens goes first; what is left of a token between others is a colon, a scalar or both
+    tight = lambda s: F.struct(F.filter(F.transform(s, lambda x: F.when(F.startswith(x, F.lit('"')), x).otherwise(F.regexp_replace(x, r"[ \t\r\n]+", ""))), lambda x: x != "").alias("tokens"))
+    spaced = let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda t: F.array_join(tight(t)["tokens"], ""))
+    return let(let(spaced, _stepped), layout)
 
 
 def valid_object(line: Column) -> Column:

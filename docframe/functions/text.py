@@ -16,6 +16,12 @@ def json_string(text: Column) -> Column:
     return F.when(text.isNotNull(), F.substr(whole, F.lit(6), F.char_length(whole) - 6))
 
 
+def json5_number(value: Column) -> Column:
+    """A number as JSON5 writes it: as JSON does, and Infinity, -Infinity and NaN."""
+    plain = F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
+    return F.when(F.isnan(value), "NaN").when(value == float("inf"), "Infinity").when(value == -float("inf"), "-Infinity").otherwise(plain)
+
+
 def json_object(*columns: Column, nulls: bool = True) -> Column:
     """A JSON object of named columns; nulls are written or left out."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false" if nulls else "true"})

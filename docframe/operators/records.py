@@ -465,7 +465,7 @@ def _union(line: Column, tag: Column, union: UnionSpec) -> Column:
 
 
 def json_value(c: Column, kind: Any) -> Column:
-    """JSON text of a value of a kind; null is written null, raw text as it stands."""
+    """JSON text of a value of a kind; null is written null, raw text as it stands; a number that is none fails the job."""
     if isinstance(kind, RecordSpec):
         made = write_json_record(kind, lambda n: c[n])
     elif isinstance(kind, ListOf):
@@ -484,7 +484,8 @@ def json_value(c: Column, kind: Any) -> Column:
     elif kind in ("string", "date"):
         made = json_string(c.cast("string"))
     elif kind in ("float", "double"):
-        made = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+        finite = F.abs(c) < float("inf")
+        made = F.when(finite & ~F.isnan(c), F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")).otherwise(F.raise_error(F.lit("UnsupportedValue")).cast("string"))
     else:
         made = c.cast("string")
     return F.when(c.isNull(), "null").otherwise(made)

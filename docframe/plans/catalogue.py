@@ -438,6 +438,18 @@ def q37_written_records(spark, sf_dir):
     return s.select("s_suppkey", records.write_json_record(RecordSpec(fields)).alias("line"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN props ELSE CAST(event_id AS VARCHAR) END AS value, CAST(1 + length(CASE WHEN event_id % 2 = 0 THEN props ELSE CAST(event_id AS VARCHAR) END) AS INTEGER) AS end_ FROM events""")
+def q38_prefix_values(spark, sf_dir):
+    written = F.concat(F.lit("\t"), F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.col("event_id").cast("string")), F.lit(" {}] tail"))
+    return table(spark, sf_dir, "events").select("event_id", route.prefix_value(written).alias("p")).select("event_id", F.col("p.value").alias("value"), F.col("p.end").alias("end_"))
+
+
+@query("""SELECT event_id, '{' || chr(10) || '  "k": ' || json_extract_string(props, '$.k') || ',' || chr(10) || '  "of": [' || chr(10) || '    "' || event_type || '",' || chr(10) || '    {}' || chr(10) || '  ]' || chr(10) || '}' AS laid_out FROM events""")
+def q39_indented(spark, sf_dir):
+    line = text.with_member(F.col("props"), "of", F.concat(F.lit('[ "'), "event_type", F.lit('",{ }]')))
+    return table(spark, sf_dir, "events").select("event_id", route.indented(line).alias("laid_out"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -222,3 +222,24 @@ def test_msgpack_maps_of_any_width(spark, n, head):
 
 def test_msgpack_map_heads():
     assert [binary._msgpack_map_head(n) for n in (15, 16, 65_535, 65_536)] == ["8F", "DE0010", "DEFFFF", "DF00010000"]
+
+
+@pytest.mark.parametrize(
+    "raw,value,end",
+    [('{"a":[1,"}"]} tail', '{"a":[1,"}"]}', 13), (' é', None, None), ('  12,3', "12", 4), ('"é\\""x', '"é\\""', 6), ("[[]]]", "[[]]", 4), ("{", None, None), ("truefalse", "true", 4), ("", None, None), ("[1 2]", None, None)],
+)
+def test_prefix_value(spark, raw, value, end):
+    got = one(spark, raw, route.prefix_value)
+    assert (got and (got["value"], got["end"])) == (value and (value, end))
+
+
+@pytest.mark.parametrize("unit", ["  ", "\t"])
+def test_indented(spark, unit):
+    for raw in ('{"a":[1,2,{"b":{}}],"c d":"x, {y}:","e":[]}', " [ ] ", '{ "k" : -1.50e+3 , "l" : [ true ,null ] }', "7", '"s"'):
+        lower = json.dumps(json.loads(raw, parse_float=lambda x: f"@{x}@"), indent=unit, ensure_ascii=False).replace('"@', "").replace('@"', "")
+        assert one(spark, raw, lambda c: route.indented(c, unit)) == lower, raw
+
+
+@pytest.mark.parametrize("value,made", [(1.5, "1.5"), (float("inf"), "Infinity"), (-float("inf"), "-Infinity"), (float("nan"), "NaN"), (None, "null")])
+def test_json5_numbers(spark, value, made):
+    assert one(spark, value, text.json5_number, "double") == made
