@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import cache
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,7 @@ ERROR = "struct<code:string,field:string>"
 _LONE = r"(?i)(?<!\\)((?:\\\\)*)\\u(?:d[89ab][0-9a-f]{2}(?!\\ud[c-f])|(?<!\\ud[89ab][0-9a-f]{2}\\u)d[c-f][0-9a-f]{2})"
 
 
+@cache
 def error(code: str, name: str | None = None) -> Column:
     return F.struct(F.lit(code).alias("code"), F.lit(name).cast("string").alias("field")).cast(ERROR)
 
