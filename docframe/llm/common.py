@@ -115,9 +115,12 @@ def join_salted(rows: DataFrame, table: DataFrame, sizes: DataFrame, keys: list[
 
     A key of more than one in ``HOT_SHARE`` rows is dealt to several tasks by a hash
     of the columns ``by``, and what ``table`` has for it goes to each of them; the hot
-    keys, fewer than ``HOT_SHARE`` whatever the input, are broadcast.
+    keys, fewer than ``HOT_SHARE`` whatever the input, are broadcast. Where no key is
+    hot this is the plain join. ``sizes`` should be a written table: it is asked first.
     """
     n, salt = "__salts", "__salt"
+    if sizes.where(F.col("count") * HOT_SHARE > total).isEmpty():
+        return rows.join(table, keys, how)
     hot = sizes.where(F.col("count") * HOT_SHARE > total).select(*keys, F.ceil(F.col("count") * HOT_SHARE / F.lit(max(total, 1))).cast("int").alias(n))
     left = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*by), F.col(n)), F.lit(0)).cast("int")).drop(n)
     right = table.join(F.broadcast(hot), keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))).drop(n)

@@ -30,6 +30,8 @@ called ``deleted``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,10 +57,11 @@ def _lines(docs: DataFrame) -> DataFrame:
     return keys.select("i", "h", "p", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), _words(F.col("line")).alias("w"))
 
 
-def _shared(rows: DataFrame, key: list[str], name: str, total: int) -> DataFrame:
+def _shared(rows: DataFrame, key: list[str], name: str, total: int, scratch: Scratch) -> DataFrame:
     """place and key of the rows whose key stands at two places or more, with the earliest of them as ``name``; ``total`` is about the number of rows."""
     first = rows.groupBy(*key).agg(F.min("place").alias(name), F.max("place").alias("__last"), F.count("*").alias("count")).where(F.col(name) < F.col("__last"))
-    return join_salted(rows, first.drop("__last", "count"), first, key, total, ["place"])
+    first = scratch.keep(first.drop("__last"), f"first-{uuid.uuid4().hex}")
+    return join_salted(rows, first.drop("count"), first, key, total, ["place"])
 
 
 def _places(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
@@ -85,14 +88,14 @@ def _places(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
 def _levels(places: DataFrame, scratch: Scratch) -> list[DataFrame]:
     """place and name tables of the first 1, 2, 4, ... lines, as far as any are shared."""
     total = places.count()
-    level = scratch.keep(_shared(places.select("place", "a", "b"), ["a", "b"], "name", total).select("place", "name"), "level0")
+    level = scratch.keep(_shared(places.select("place", "a", "b"), ["a", "b"], "name", total, scratch).select("place", "name"), "level0")
     found = []
     while not level.isEmpty():
         found.append(level)
         size = 1 << (len(found) - 1)
         behind = level.select((F.col("place") - size).alias("place"), F.col("name").alias("y"))
         pair = level.withColumnRenamed("name", "x").join(behind, "place")
-        level = scratch.keep(_shared(pair, ["x", "y"], "name", total).select("place", "name"), f"level{len(found)}")
+        level = scratch.keep(_shared(pair, ["x", "y"], "name", total, scratch).select("place", "name"), f"level{len(found)}")
     return found
 
 
@@ -113,7 +116,7 @@ def repeated_runs(places: DataFrame, scratch: Scratch) -> DataFrame:
         y = levels[j].select(F.col("place").alias("__at"), F.col("name").alias("y"))
         active = active.join(y, F.col("place") + F.col("n") == F.col("__at"), "left").drop("__at")
         sub = active.where(F.col("y").isNotNull()).groupBy("n", "name", "y").agg(F.min("place").alias("f"), F.max("place").alias("__last"), F.count("*").alias("count"))
-        sub = sub.where(F.col("f") < F.col("__last")).drop("__last")
+        sub = scratch.keep(sub.where(F.col("f") < F.col("__last")).drop("__last"), f"sub{j}")
         active = join_salted(active, sub.drop("count"), sub, ["n", "name", "y"], total, ["place"], "left")
         narrow = F.struct("k", (F.col("n") + (1 << j)).alias("n"), F.col("f").alias("name"), "place")
         wide = F.struct("k", "n", "name", "place")

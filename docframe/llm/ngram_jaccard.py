@@ -41,6 +41,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,8 +185,8 @@ def least_overlap(n, num: int, den: int):
     return -(-num * n // den)
 
 
-def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, digest, n, rare (shingles of its own), tokens (shared ones of the prefix) and, where there are some, shingles."""
+def document_sets(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Broadcast]:
+    """The tables as they are sent to tasks, and doc_id, digest, n, rare (shingles of its own), tokens (shared ones of the prefix) and, where there are some, shingles."""
     tables = docs.sparkSession.sparkContext.broadcast(shingle_tables(docs.select("text"), n))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -206,7 +207,7 @@ def document_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(made, ["doc_id", "digest", "n", "rare", "tokens", "shingles"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, digest binary, n long, rare long, tokens array<long>, shingles binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, digest binary, n long, rare long, tokens array<long>, shingles binary"), tables
 
 
 def _prefix(u: np.ndarray, seen: np.ndarray, level: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray]:
@@ -293,7 +294,9 @@ def near_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     """doc_id, n_shingles and component_id (the least id reachable by links) of every row."""
     scratch = Scratch(docs.sparkSession, "ngram-jaccard")
     picked = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
-    sets = scratch.keep(document_sets(picked, n, num, den), "sets")
+    made, tables = document_sets(picked, n, num, den)
+    sets = scratch.keep(made, "sets")
+    tables.unpersist()
     holders = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = scratch.keep(numbered(holders, "node", scratch, "numbered"), "reps")
     # by id too, so that the copies of one text do not meet in one task
@@ -303,9 +306,11 @@ def near_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     posts = live.select("node", "rare", F.explode("tokens").alias("token")).distinct()
     posts = scratch.keep(posts, "asked")
     lead = posts.groupBy("token").agg(F.min_by("node", "rare").alias("leader"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("count")).where(F.col("lo") < F.col("hi"))
+    lead = scratch.keep(lead.select("token", "leader", "count"), "lead")
     total = lead.agg(F.sum("count")).first()[0] or 0
     posts = scratch.keep(join_salted(posts, lead.select("token", "leader"), lead, ["token"], total, ["node"]), "posts")
     scratch.drop("asked")
+    scratch.drop("lead")
     # a node's group is that of the leader it meets most often
     votes = posts.groupBy("node", "leader").count()
     group = scratch.keep(votes.groupBy("node").agg(F.max_by("leader", "count").alias("g")), "groups")
@@ -349,7 +354,7 @@ def near_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     by_set = scratch.keep(named.join(least, "root").select("digest", "component_id"), "components")
     scratch.drop_all_but("sets", "components")
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "digest")
-    sizes = rows.groupBy("digest").count()
+    sizes = scratch.keep(rows.groupBy("digest").count().where(F.col("count") > 1), "sizes")
     joined = join_salted(rows, by_set, sizes, ["digest"], rows.count(), ["doc_id"], "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"))

@@ -130,7 +130,8 @@ def _words(text: Column) -> Column:
 
 def named_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """row (a number), doc, text and base of the documents that name an entity; ``docs`` has doc, text, base."""
-    named = docs.where(F.size("base") > 0).withColumn("row", F.monotonically_increasing_id())
+    # numbered first: Spark moves no filter below a number, so the spans are looked for once a row
+    named = docs.withColumn("row", F.monotonically_increasing_id()).where(F.size("base") > 0)
     return scratch.keep(named.select("row", "doc", "text", "base"), "named")
 
 

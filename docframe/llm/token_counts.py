@@ -78,8 +78,9 @@ def token_counts(docs: DataFrame, path: str, cache: str, passes: int = 2, id_col
         mine = keyed.where(F.pmod("h", F.lit(passes)) == k)
         count_misses(mine.withColumn("digest", digest_of(F.col("text"))), path, cache, version)
     rows = keyed.select("doc_id", "h", digest_of(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
-    rows = Scratch(spark, "token-counts").keep(rows, "rows")
-    sizes = rows.groupBy("digest").count()
+    scratch = Scratch(spark, "token-counts")
+    rows = scratch.keep(rows, "rows")
+    sizes = scratch.keep(rows.groupBy("digest").count().where(F.col("count") > 1), "sizes")
     known = stored_counts(spark, cache, version)
     joined = join_salted(rows, known, sizes, ["digest"], rows.count(), ["h"])
     return joined.select("doc_id", "n_bytes", "n_tokens")
