@@ -49,7 +49,7 @@ from docframe.llm import tokens
 from docframe.llm.common import Scratch, components, join_salted, numbered, text_of
 
 #: Characters of text turned to shingles together.
-RUN_CHARS = 4_000_000
+RUN_CHARS = 2_000_000
 #: The tables: 2^27 bits for shingles seen twice, 2^22 bytes for levels of frequency; 20 MB whatever the input.
 RANGES, SEEN_BITS, LEVEL_BITS = 256, 27, 22
 #: A shingle in this many texts or more has a level, one more for each doubling.

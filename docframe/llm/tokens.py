@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters of text encoded together; memory in a task follows this, not the batch.
-RUN_CHARS = 6_000_000
+RUN_CHARS = 3_000_000
 #: Pieces of more characters than this are encoded apart.
 LONG_PIECE = 32
 #: Stands for the mark at the end of a word; pieces that hold it go to the library.
